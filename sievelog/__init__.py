@@ -1,0 +1 @@
+"""A PySpark engine for permission-filtered facts: schemas, logged changes, queries, live views."""
