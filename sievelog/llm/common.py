@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and holds at most this many rows.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 #: Copies of the small side in a salted join.
 SALT = 16
 

@@ -297,3 +297,21 @@ def test_empty_tables(spark):
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert "documents" in OP3_SQL
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Strays around a large component, found block against block."""
+    monkeypatch.setattr(minhash, "SKETCH_BLOCK", 40)
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 16)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(220):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(2, 9), replace=False):
+            words[at] = f"n{i}_{at}"
+        rows.append((1000 - i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    assert 1 < len({r[2] for r in want}) < 220
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == want
