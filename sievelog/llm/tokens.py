@@ -16,6 +16,7 @@ doc_id passes through. An empty table gives an empty result. Other columns are i
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Characters from which a document is encoded in chunks.
 HUGE = 1 << 16
 #: Words that a worker's memo holds at most.
-MEMO = 400_000
+MEMO = 600_000
 LIMIT = 2048
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -48,8 +49,18 @@ def splits_at_space(spec: dict) -> bool:
     return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "|\\s" not in pattern and " " not in pattern and normal
 
 
+#: Marks that end a letter run in a pre-tokenizer of classes; none is part of a special string.
+_MARKS = re.compile(rb"(?<=[a-z])(?=[.,%$#&*!;:?]+(?:[ \t\n\r\x0b\x0c]|\Z))")
+_CLASSES = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class Encoder:
-    """A tokenizer file and a memo of the ids of words, as little-endian unsigned 32-bit bytes."""
+    """A tokenizer file and a memo of the ids of words, as little-endian unsigned 32-bit bytes.
+
+    ``classes``: letters, digits and marks are separate pre-tokens and lower case is all that counts,
+    so words may also be cut between an ASCII letter and the marks at their end, and words of letters
+    only are one pre-token each, whose last token bears the end-of-word suffix.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,7 +69,16 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
+            spec = json.load(f)
+        self.special = [x["content"].lower().encode() for x in spec.get("added_tokens") or []]
+        self.by_word = splits_at_space(spec) and not any(len(x.split()) != 1 for x in self.special)
+        suffix = spec.get("model", {}).get("end_of_word_suffix")
+        lower = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.classes = self.by_word and suffix == "</w>" and lower and _CLASSES in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and not any(_MARKS.search(x) for x in self.special)
+        if self.classes:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.memo: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -69,20 +89,46 @@ class Encoder:
         done = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(done.ids, "<u4"), np.array([a for a, _ in done.offsets], np.int64)
 
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        done = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, done, strict=True)}
+
+    def _together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters only, encoded as one text and cut after each end-of-word token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words) or stops[-1] != 4 * len(ids):
+            return self._each(words)
+        data, at = ids.tobytes(), 0
+        out = {}
+        for word, stop in zip(words, stops.tolist(), strict=True):
+            out[word] = data[at:stop]
+            at = stop
+        return out
+
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the memo lacks; kept while it has room."""
-        done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        fresh = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, done, strict=True)}
+        letters = [w for w in words if (t := w.decode()).isalpha() and t.lower().isalpha()] if self.classes else []
+        fresh = self._together(letters) if letters else {}
+        if len(fresh) < len(words):
+            fresh |= self._each([w for w in words if w not in fresh])
         if len(self.memo) + len(fresh) <= MEMO:
             self.memo.update(fresh)
             return self.memo
         return _Layered(fresh, self.memo)
 
+    def _words(self, text: bytes) -> list[bytes]:
+        if self.classes:
+            low = text.lower()
+            if not any(x in low for x in self.special):
+                return _MARKS.sub(b" ", low).split()
+        return text.split()
+
     def many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]
+        split = [self._words(t) for t in texts]
         wanted: set[bytes] = set().union(*split) if split else set()
         missing = [w for w in wanted if w not in self.memo]
         known = self._learn(missing) if missing else self.memo
