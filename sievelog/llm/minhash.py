@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, materialize
+from .common import BROADCAST_ROWS, attach, frugal, materialize
 from .components import components
 from .words import SPACED, hashed_words, mix
 
@@ -150,7 +150,7 @@ def _proposals(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     sketches = signed.select("doc_id", "sketch")
     joined = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     joined = joined.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_close, "a long, b long, same long")
+    return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(frugal(_close), "a long, b long, same long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "u long, v long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(frugal(_verify), "u long, v long")
 
 
 def _units(rows: DataFrame, key: str, size: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _links_in_blocks(wide: DataFrame, reps: DataFrame, docs: DataFrame) -> DataF
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(sign_batches, SIGNED), "signed")
+    signed = materialize(docs.mapInArrow(frugal(sign_batches), SIGNED), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one class; its smallest doc_id stands for it
     classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep"), "classes")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import frugal, slices, utf8
 from .words import PIECE, SPACED, _hashes, _spans
 
 PASSAGE = 64
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Attention
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # the limit is the size of the broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
-    made = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features, "quality int, x binary").collect()
+    made = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(frugal(_features), "quality int, x binary").collect()
     made.sort(key=lambda r: (r.quality, r.x))
     x = [np.frombuffer(r.x, "<f4").reshape(-1, WIDTH) for r in made]
     bags = np.array([len(v) for v in x], np.int64)
@@ -210,5 +210,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(frugal(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .words import ALNUM, hashed_words
 
 WINDOW = 13
@@ -186,7 +187,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     and ``op2`` combine them.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [docs.mapInArrow(matcher(docs.sparkSession.sparkContext.broadcast(block)), FOUND) for block in blocks(benchmark, window)]
+    parts = [docs.mapInArrow(frugal(matcher(docs.sparkSession.sparkContext.broadcast(block))), FOUND) for block in blocks(benchmark, window)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

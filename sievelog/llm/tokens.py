@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import frugal, slices, utf8
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Characters from which a document is encoded in chunks.
 HUGE = 1 << 16
 #: Words that a worker's memo holds at most.
-MEMO = 600_000
+MEMO = 300_000
 LIMIT = 2048
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -206,7 +206,7 @@ def spliced(text: str, traced: Callable[[str], tuple[np.ndarray, np.ndarray]], c
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def encoded_rows(column: pa.Array, path: str, batch: int = 1 << 20) -> Iterator[bytes]:
+def encoded_rows(column: pa.Array, path: str, batch: int = 1 << 19) -> Iterator[bytes]:
     """The ids of every row's whole text, as little-endian unsigned 32-bit bytes."""
     tool = encoder(path)
     raw, offsets = utf8(column)
@@ -228,4 +228,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(frugal(count), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

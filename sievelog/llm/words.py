@@ -16,7 +16,7 @@ import pyarrow as pa
 from .common import slices, utf8
 
 #: Bytes hashed at a time; longer texts are cut at a separator.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
