@@ -293,7 +293,10 @@ def variants(source: str, k: int) -> list[str]:
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Boosted:
     """The model, from the ``most`` pages whose html hashes smallest."""
     order = F.xxhash64(F.coalesce(F.col("html"), F.lit("")))
-    sample = pages.select("html", order.alias("h")).where(F.length("html").between(1, 50_000)).orderBy("h", "html").limit(most).select("html").collect()
+    hashed = pages.select("html", order.alias("h")).where(F.length("html").between(1, 50_000))
+    # only hashes are ranked; then equal pages count once, and no more than ``most`` reach the driver
+    cut = hashed.groupBy("h").agg(F.lit(1)).select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).first().h
+    sample = [] if cut is None else hashed.where(F.col("h") <= cut).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     x, y = [], []
     for k, row in enumerate(sample):
         for source in variants(row.html, k):
