@@ -134,6 +134,24 @@ class Policy:
             return out.where(base).select(*raw.columns)
         return out.select("id", *shown).where(reduce(or_, [F.col(c).isNotNull() for c in raw.columns if c != "id"]))
 
+    def mask_each(self, entity: str, raw: DataFrame, frames: Mapping[str, DataFrame], actors: DataFrame) -> DataFrame:
+        """``mask`` for every reader of ``actors`` (id and what rules read of them): (actor, row) pairs.
+
+        The read rules are the join condition, so that a rule which equates a field with one of the
+        reader's is an equi-join, and only pairs that grant something come out.
+        """
+        who = actors.dropDuplicates(["id"]).select(*[F.col(c).alias(f"__actor_{c}") for c in actors.columns])
+        rows, context, _ = self.context(entity, raw, frames, {c: F.col(f"__actor_{c}") for c in actors.columns})
+        policy = self.entities[entity]
+        reads = {f: o["read"] for f, o in policy.overrides.items() if "read" in o}
+        base, shown = granted(policy.read, context), []
+        pairs = rows.join(who, reduce(or_, [r(context) for r in (policy.read, *reads.values())]))
+        for name in raw.columns:
+            if name != "id":
+                shown.append(F.when(granted(reads[name], context) if name in reads else base, F.col(name)).alias(name))
+        masked = pairs.select(F.col("__actor_id").alias("actor"), "id", *shown)
+        return masked.where(reduce(or_, [F.col(c).isNotNull() for c in raw.columns if c != "id"])) if reads else masked
+
     def can_see(self, entity: str, raw: DataFrame, frames: Mapping[str, DataFrame], actor: dict[str, Any] | None) -> DataFrame:
         """The ids that the entity's read rule shows."""
         rows, context, _ = self.context(entity, raw, frames, actor)

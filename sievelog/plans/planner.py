@@ -7,7 +7,8 @@ where it reaches the scan. Negations and absences never are.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import replace
 from functools import partial, reduce
 from operator import and_, or_
 from typing import Any
@@ -269,10 +270,82 @@ class Planner:
         return (rows[-1].v, rows[-1].id) if rows and query.take is not None and len(rows) == query.take else None
 
     def payload_facts(self, query: Query) -> DataFrame:
-        """The facts a cache needs to answer the query: subject, predicate, value as text, without repeats."""
-        rows = self.roots(query)
-        names = {*_constrained(query.constraints), *query.selection.fields, *(k for k, _ in query.selection.nested), *([query.order[0]] if query.order else [])}
-        return facts_as_text(self.schema, query.entity, rows, sorted(names or self.schema.instance_predicates(query.entity)))
+        """The facts a cache needs to answer the query: subject, predicate, value as text, without repeats.
+
+        These are what the roots are found, ordered and selected by, the same for the rows that the
+        selection follows or nests, and evidence for negations: all values of a negated field, for
+        every subject that holds the constraints named before it.
+        """
+
+        def reached(constraints: tuple[Constraint, ...]) -> DataFrame:
+            return self._rooted(replace(query, constraints=constraints, selection=Selection()), constraints)
+
+        parts = self._payload(query, query.constraints, self.roots(query), reached)
+        return reduce(DataFrame.unionByName, parts).distinct()
+
+    def _payload(self, query: Query, constraints: tuple[Constraint, ...], rows: DataFrame, reached: Callable[[tuple[Constraint, ...]], DataFrame]) -> list[DataFrame]:
+        """Fact frames of a query's windowed rows; ``constraints`` are those not bound to a parent."""
+        entity, fields = query.entity, self.schema.entities[query.entity]
+        names = {*([query.order[0]] if query.order else [])}
+        if not constraints or constraints[0].kind in ("not", "absent"):
+            names |= set(self.schema.instance_predicates(entity))
+        held: dict[str, list[Column]] = {}
+        for c in _positive(constraints):
+            if fields[c.field].is_multiple:
+                held.setdefault(c.field, []).extend(_value(v, fields[c.field]) for v in (c.value if c.kind == "in" else (c.value,)))
+            else:
+                names.add(c.field)
+        parts = [facts_as_text(self.schema, entity, rows, sorted(names))] if names else []
+        if held:
+            # of a list, the elements that the constraints name
+            some = rows.select("id", *[F.array_intersect(n, F.array(*v)).alias(n) for n, v in held.items()])
+            parts.append(facts_as_text(self.schema, entity, some, sorted(held)))
+        for at, c in enumerate(constraints):
+            if negated := sorted(_negated((c,))):
+                parts.append(facts_as_text(self.schema, entity, reached(constraints[:at]), negated))
+        return parts + self._selected_facts(rows, entity, query.selection)
+
+    def _selected_facts(self, rows: DataFrame, entity: str, selection: Selection) -> list[DataFrame]:
+        fields, parts = self.schema.entities[entity], []
+        if names := sorted({*selection.fields, *(k for k, _ in selection.nested)}):
+            parts.append(facts_as_text(self.schema, entity, rows, names))
+        for name, inner in selection.nested:
+            target = fields[name].points_to
+            ids = rows.select((F.explode(name) if fields[name].is_multiple else F.col(name)).alias("__to")).distinct()
+            there = self.masked(target)
+            parts += self._selected_facts(there.join(ids, there["id"] == ids["__to"], "left_semi"), target, inner)
+        for _, query, handle in selection.queries:
+            children = self._children(query, handle)
+            if children is None:
+                parts.append(self.payload_facts(query))
+                continue
+            parents = rows.select(F.col("id").alias("__attach")).distinct()
+            mine = children.join(parents, F.col("__parent") == F.col("__attach"), "left_semi")
+            for bound, rest in _bound(query.constraints, handle):
+
+                def reached(constraints: tuple[Constraint, ...], bound=bound, query=query, handle=handle, parents=parents) -> DataFrame:
+                    named = tuple(Constraint("eq", b, Row(handle)) for b in bound)
+                    found = self._children(replace(query, constraints=(*named, *constraints), selection=Selection(), order=None, take=None, cursor=None), handle)
+                    return found.join(parents, F.col("__parent") == F.col("__attach"), "left_semi")
+
+                own = mine.where(condition(self.schema, query.entity, rest))
+                for name in bound:
+                    if name != "id":
+                        many = self.schema.field(query.entity, name).is_multiple
+                        links = own.select("id", (F.array_intersect(name, F.array("__parent")) if many else F.col(name)).alias(name))
+                        parts.append(facts_as_text(self.schema, query.entity, links, [name]))
+                parts += self._payload(query, rest or (Constraint("id"),), own, reached)
+        return parts
+
+
+def _positive(constraints: tuple[Constraint, ...]) -> list[Constraint]:
+    """Positive constraints on fields, those of branches too."""
+    inner = [x for c in constraints if c.kind == "either" for b in c.branches for x in _positive(b)]
+    return [c for c in constraints if c.kind in ("eq", "in", "range")] + inner
+
+
+def _negated(constraints: tuple[Constraint, ...]) -> set[str]:
+    return {c.field for c in constraints if c.kind in ("not", "absent")}.union(*[_negated(b) for c in constraints for b in c.branches])
 
 
 def _named(predicate: str, value: Column) -> Column:
@@ -280,11 +353,11 @@ def _named(predicate: str, value: Column) -> Column:
 
 
 def facts_as_text(schema: Schema, entity: str, rows: DataFrame, names: list[str]) -> DataFrame:
-    """Wide rows as (subject, predicate, value) for the named fields, one pass over the rows."""
+    """Wide rows as (subject, predicate, value) for the named fields, one pass over the rows, repeats left in."""
     fields = schema.entities[entity]
     texts = [F.transform(F.col(n), lambda x: x.cast("string")) if fields[n].is_multiple else F.array_compact(F.array(F.to_json(n) if fields[n].kind in ("object", "union") else F.col(n).cast("string"))) for n in names]
     parts = F.flatten(F.array(*[F.transform(t, partial(_named, f"{entity}/{n}")) for n, t in zip(names, texts, strict=True)]))
-    return rows.select(F.col("id").alias("subject"), F.explode(parts).alias("f")).select("subject", "f.predicate", "f.value").distinct()
+    return rows.select(F.col("id").alias("subject"), F.explode(parts).alias("f")).select("subject", "f.predicate", "f.value")
 
 
 def _bound(constraints: tuple[Constraint, ...], handle: int) -> list[tuple[tuple[str, ...], tuple[Constraint, ...]]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelog.functions.values import FACTS
 from sievelog.operators import facts as ops
-from sievelog.operators.policy import EntityPolicy, Policy, anyone
+from sievelog.operators.policy import EntityPolicy, Policy, anyone, compile_policy
 from sievelog.plans.planner import Planner
 from sievelog.plans.query import Query
 from sievelog.sources.tables import SCHEMA, Tables
@@ -137,6 +137,14 @@ def subquery_either_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir).joined(query, "orders").select("id", F.col("orders_id").alias("order_id"))
 
 
+@registered("SELECT 'nation_'||n_nationkey id, 'customer_'||c_custkey customer_id, 'order_'||o_orderkey order_id FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal>9000) ON c_nationkey=n_nationkey LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus='P') ON o_custkey=c_custkey")
+def subquery_in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = lambda c: {"orders": q("order").where("customer", c).where("status", "P")}
+    query = q("nation").select(lambda row: {"customers": q("customer").where("nation", row).where_greater("balance", 9000).select(orders)})
+    rows = plan(spark, sf_dir).run(query).select("id", F.explode_outer("customers").alias("c"))
+    return rows.select("id", F.col("c.id").alias("customer_id"), F.explode_outer("c.orders").alias("o")).select("id", "customer_id", F.col("o.id").alias("order_id"))
+
+
 # Permissions.
 
 
@@ -164,6 +172,12 @@ simple("policy_window", q("order").order_by("total").limit(20), f"SELECT {ORDER}
 simple("policy_filter_pushed", q("order").where("status", "O").select({"total": True}), f"SELECT {ORDER}, o_totalprice total FROM {_SEEN} WHERE o_orderstatus='O'", _reader)
 
 
+_OPEN_NEARBY = {"allOf": [{"equals": ["fields.status", {"literal": "O"}]}, {"equals": ["fields.customer.nation", "actor.nation"]}]}
+_DECLARED = {e: {"read": True} for e in SCHEMA.entities} | {"order": {"read": {"anyOf": [{"equals": ["fields.customer", "actor"]}, _OPEN_NEARBY]}}}
+
+simple("policy_declared", q("order"), f"SELECT {ORDER} FROM {_SEEN}", lambda s, d: (compile_policy(SCHEMA, _DECLARED), as_customer(s, d)))
+
+
 def _quality_policy(spark: SparkSession, sf_dir: str) -> tuple[Policy, dict]:
     rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities}
     rules["document"] = EntityPolicy(read=anyone, overrides={"quality": {"read": lambda c: c["lang"] == "en"}})
@@ -196,6 +210,40 @@ def payload_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir).payload_facts(q("order").where("status", "F").select({"customer": True}))
 
 
+@registered("SELECT 'order_'||o_orderkey subject, unnest(['order/status','order/priority','order/customer']) predicate, unnest([o_orderstatus,o_orderpriority,'customer_'||o_custkey]) \"value\" FROM orders WHERE o_orderstatus='P' AND o_orderpriority='1-URGENT' UNION ALL SELECT DISTINCT 'customer_'||c_custkey, 'customer/nation', 'nation_'||c_nationkey FROM customer JOIN orders ON o_custkey=c_custkey WHERE o_orderstatus='P' AND o_orderpriority='1-URGENT'")
+def payload_facts_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(spark, sf_dir).payload_facts(q("order").where("status", "P").where("priority", "1-URGENT").select({"customer": {"nation": True}}))
+
+
+@registered(f"SELECT id subject, unnest(['document/lang','document/source']) predicate, unnest([lang,source]) \"value\" FROM {DOC} WHERE lang='en' AND (quality IS NULL OR quality<>1) UNION ALL SELECT id, 'document/quality', quality::varchar FROM {DOC} WHERE lang='en' AND quality IS NOT NULL")
+def payload_facts_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A negation ships what it was judged by, for every subject that reached it."""
+    return plan(spark, sf_dir).payload_facts(q("document").where("lang", "en").where_not("quality", 1).select({"source": True}))
+
+
+@registered("SELECT 'customer_'||c_custkey subject, 'customer/nation' predicate, 'nation_3' \"value\" FROM customer WHERE c_nationkey=3 UNION ALL SELECT 'order_'||o_orderkey, unnest(['order/customer','order/status','order/priority']), unnest(['customer_'||o_custkey,o_orderstatus,o_orderpriority]) FROM orders JOIN customer ON o_custkey=c_custkey WHERE c_nationkey=3 AND o_orderstatus='F'")
+def payload_facts_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = lambda row: {"orders": q("order").where("customer", row).where("status", "F").select({"priority": True})}
+    return plan(spark, sf_dir).payload_facts(q("customer").where("nation", {"id": "nation_3"}).select(nested))
+
+
+@registered("SELECT 'order_'||o_orderkey subject, 'customer_'||o_custkey \"value\" FROM orders WHERE o_orderstatus='P'")
+def match_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = Tables(spark, sf_dir)["order"]
+    return ops.match_subjects(ops.unpivot(SCHEMA, "order", orders, ["customer"]), orders.where("status = 'P'"), "order/customer").select("subject", F.col("s").alias("value"))
+
+
+@registered("SELECT '-' op, 'order_'||o_orderkey subject FROM orders WHERE o_orderstatus='P' UNION ALL SELECT '+', 'order_'||o_orderkey FROM orders WHERE o_orderstatus='P'")
+def effective_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Setting P and F orders to F, as removals of P and additions of F: only P orders change."""
+    orders = Tables(spark, sf_dir)["order"]
+    facts = ops.unpivot(SCHEMA, "order", orders, ["status"])
+    named = orders.where("status <> 'O'")
+    removed = ops.unpivot(SCHEMA, "order", named.withColumn("status", F.lit("P")), ["status"]).withColumn("op", F.lit("-"))
+    added = ops.unpivot(SCHEMA, "order", named.withColumn("status", F.lit("F")), ["status"]).withColumn("op", F.lit("+"))
+    return ops.effective(facts, removed.unionByName(added)).select("op", "subject")
+
+
 @registered("SELECT 'order_'||o_orderkey subject FROM orders WHERE o_custkey=7")
 def match_p_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = ops.unpivot(SCHEMA, "order", Tables(spark, sf_dir)["order"], ["customer"])
@@ -298,12 +346,13 @@ def delta_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commit: every P order becomes F. Each of five readers gets the changed orders of its own customer."""
-    tables = Tables(spark, sf_dir)
-    readers = _events(spark, sf_dir).where("user_id < 5").select("user", F.concat(F.lit("customer_"), F.col("user_id").cast("string")).alias("customer")).distinct()
-    changed = changed_rows(spark, sf_dir)
-    # readers are a bounded set; each changed row goes to those whose rule shows it
-    seen = tables["order"].join(changed, "id", "left_semi").select(F.col("id").alias("subject"), "customer").join(F.broadcast(readers), "customer")
-    return seen.select(F.col("user").alias("actor"), "subject")
+    from sievelog.streaming.live import fan_out as sent
+
+    before = {"order": Tables(spark, sf_dir)["order"]}
+    after = {"order": before["order"].withColumn("status", F.when(F.col("status") == "P", "F").otherwise(F.col("status")))}
+    readers = _events(spark, sf_dir).where("user_id < 5").select(F.col("user").alias("id"), F.concat(F.lit("customer_"), F.col("user_id").cast("string")).alias("customer"))
+    rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities} | {"order": EntityPolicy(read=lambda c: c["customer"] == c.actor("customer"))}
+    return sent(Policy(SCHEMA, rules), SCHEMA, "order", before, after, readers, changed_rows(spark, sf_dir)).select("actor", "subject").distinct()
 
 
 # Operators without a SQL form.

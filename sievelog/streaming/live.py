@@ -42,20 +42,22 @@ def fold_stream(stream: DataFrame, state: str, checkpoint: str, key: str, value:
     return spark.read.parquet(f"{state}/{last['batchId'] if isinstance(last, dict) else last.batchId}")
 
 
-def fan_out(policy: Policy, schema: Schema, entity: str, before: dict[str, DataFrame], after: dict[str, DataFrame], actors: list[dict[str, Any]]) -> DataFrame:
-    """(actor, op, fact) of a commit for each distinct reader: additions as seen after, removals as
-    seen before, and the facts of subjects that came into or went out of sight."""
-    parts = []
-    for actor in {a["id"]: a for a in actors}.values():
-        old, new = policy.mask(schema, entity, before[entity], before, actor), policy.mask(schema, entity, after[entity], after, actor)
-        one, two = unpivot(schema, entity, old), unpivot(schema, entity, new)
-        gone = one.exceptAll(two).select(F.lit("-").alias("op"), *FACT)
-        come = two.exceptAll(one).select(F.lit("+").alias("op"), *FACT)
-        parts.append(gone.unionByName(come).select(F.lit(actor["id"]).alias("actor"), "op", *FACT))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def fan_out(policy: Policy, schema: Schema, entity: str, before: dict[str, DataFrame], after: dict[str, DataFrame], actors: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """(actor, op, fact) of a commit for each distinct reader of ``actors``: additions as seen after,
+    removals as seen before, and the facts of subjects that came into or went out of sight.
+
+    ``subjects`` (id) are those that the commit changed or affected; without them all are compared.
+    """
+
+    def seen(frames: dict[str, DataFrame]) -> DataFrame:
+        rows = frames[entity] if subjects is None else frames[entity].join(subjects.select("id"), "id", "left_semi")
+        masked = policy.mask_each(entity, rows, frames, actors)
+        keyed = masked.select(F.struct("actor", "id").alias("id"), *[c for c in masked.columns if c not in ("actor", "id")])
+        return unpivot(schema, entity, keyed)
+
+    one, two = seen(before), seen(after)
+    out = one.exceptAll(two).withColumn("op", F.lit("-")).unionByName(two.exceptAll(one).withColumn("op", F.lit("+")))
+    return out.select("subject.actor", "op", F.col("subject.id").alias("subject"), *FACT[1:])
 
 
 def envelopes(version: int, actors: list[str], visible: DataFrame, spark: SparkSession, author: str | None) -> DataFrame:
