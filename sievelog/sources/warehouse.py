@@ -1,13 +1,15 @@
 """A workspace: an append-only log of versioned changes and the state that is its fold.
 
-Commits are Parquet folders under ``log/``; a commit exists when its manifest file exists, which
-is created atomically and never overwritten, so of two writers of one version one fails. A base
-snapshot with its version bounds what a read folds.
+Commits are Parquet folders of unique names under ``log/``; a commit exists when its manifest file
+exists. That file names the folder and is created atomically and never overwritten, so of two writers
+of one version one fails, without touching what the other wrote. A base snapshot with its version
+bounds what a read folds.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ class Warehouse:
         self.spark, self.root, self.retain = spark, f"{root.rstrip('/')}/{workspace}", retain
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
+        self._known: dict[tuple[int, int], str] = {}
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         for name in ("log", "commits", "base"):
             self._fs.mkdirs(self._path(f"{self.root}/{name}"))
@@ -38,9 +41,27 @@ class Warehouse:
     def _listed(self, folder: str) -> list[int]:
         return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if x.getPath().getName().isdigit())
 
+    def _folders(self) -> dict[int, str]:
+        """The log folder of each commit, from its manifest; manifests never change, so each is read once.
+
+        One that is still empty belongs to a writer that has not finished.
+        """
+        out = {}
+        for status in self._fs.listStatus(self._path(f"{self.root}/commits")):
+            if (name := status.getPath().getName()).isdigit() and status.getLen():
+                key = (int(name), status.getModificationTime())
+                if key not in self._known:
+                    stream = self._fs.open(status.getPath())
+                    try:
+                        self._known[key] = stream.readUTF()
+                    finally:
+                        stream.close()
+                out[key[0]] = self._known[key]
+        return dict(sorted(out.items()))
+
     @property
     def version(self) -> int:
-        return max([self.floor, *self._listed("commits")])
+        return max([self.floor, *self._folders()])
 
     @property
     def floor(self) -> int:
@@ -48,8 +69,7 @@ class Warehouse:
         return max([0, *(v for v in self._listed("base") if self._fs.exists(self._path(f"{self.root}/base/{v}/_SUCCESS")))])
 
     def log(self, after: int = 0, upto: int | None = None) -> DataFrame:
-        versions = [v for v in self._listed("commits") if v > after and (upto is None or v <= upto)]
-        paths = [f"{self.root}/log/{v}" for v in versions]
+        paths = [f"{self.root}/log/{f}" for v, f in self._folders().items() if v > after and (upto is None or v <= upto)]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
     def entries_since(self, version: int) -> DataFrame | None:
@@ -77,14 +97,19 @@ class Warehouse:
         changes = effective(self.facts(version), delta.select("op", *FACT))
         # removals come before additions; within one commit a fact has one operation
         rows = changes.select(F.lit(version + 1).cast("long").alias("version"), F.when(F.col("op") == "-", 0).otherwise(1).alias("seq"), "op", *FACT, F.lit(actor).cast("string").alias("actor"), F.current_timestamp().alias("at"))
-        path = f"{self.root}/log/{version + 1}"
-        rows.write.mode("overwrite").parquet(path)
-        if self.spark.read.schema(LOG).parquet(path).isEmpty():
+        folder = f"{version + 1}-{uuid.uuid4().hex}"
+        path = self._path(f"{self.root}/log/{folder}")
+        rows.write.parquet(path.toString())
+        if self.spark.read.schema(LOG).parquet(path.toString()).isEmpty():
+            self._fs.delete(path, True)
             return None
         try:
-            self._fs.create(self._path(f"{self.root}/commits/{version + 1}"), False).close()
+            manifest = self._fs.create(self._path(f"{self.root}/commits/{version + 1}"), False)
         except Exception as e:
+            self._fs.delete(path, True)
             raise Conflict(f"version {version + 1} was taken") from e
+        manifest.writeUTF(folder)
+        manifest.close()
         if self.retain and (version + 1 - self.floor) >= 2 * self.retain:
             self.compact(version + 1 - self.retain)
         return version + 1
@@ -93,12 +118,12 @@ class Warehouse:
         """Folds the log up to a version into the base and drops those changes."""
         if upto <= self.floor:
             return
-        old = self._listed("commits")
+        old = self._folders()
         self.facts(upto).write.mode("overwrite").parquet(f"{self.root}/base/{upto}")
-        for v in old:
+        for v, folder in old.items():
             if v <= upto:
                 self._fs.delete(self._path(f"{self.root}/commits/{v}"), False)
-                self._fs.delete(self._path(f"{self.root}/log/{v}"), True)
+                self._fs.delete(self._path(f"{self.root}/log/{folder}"), True)
 
     def reset(self) -> None:
         """Drops everything of this workspace."""
