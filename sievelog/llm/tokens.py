@@ -30,7 +30,7 @@ CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Characters from which a document is encoded in chunks.
 HUGE = 1 << 16
 #: Words that a worker's memo holds at most.
-MEMO = 300_000
+MEMO = 1_200_000
 LIMIT = 2048
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -206,7 +206,7 @@ def spliced(text: str, traced: Callable[[str], tuple[np.ndarray, np.ndarray]], c
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def encoded_rows(column: pa.Array, path: str, batch: int = 1 << 19) -> Iterator[bytes]:
+def encoded_rows(column: pa.Array, path: str, batch: int = 1 << 20) -> Iterator[bytes]:
     """The ids of every row's whole text, as little-endian unsigned 32-bit bytes."""
     tool = encoder(path)
     raw, offsets = utf8(column)
