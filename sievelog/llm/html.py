@@ -8,11 +8,13 @@ accepted descendant, bottom up over the tree; accepted blocks give the text in p
 
 The trees are fitted on a bounded sample: the TRAIN_PAGES pages with the smallest hashes. Their
 labels come from sectioning elements (article or main against nav, aside, forms ...), and each
-sampled page is also used with notices, sidebars, comments and adverts of other mark-up put in, so
-that the model isn't tied to one template.
+sampled page is also used with notices, sidebars, comments and adverts of other mark-up put in, and
+with its article or a few other words as bare text of the body, so that the model isn't tied to one
+template. Pages of more than TRAIN_CHARS characters are left out of the sample, not of the result.
 
-Cases: null or empty html gives an empty text. Text outside any element belongs to the body. Rows
-that repeat are extracted each by itself; nothing depends on other columns than page_id, url and
+Cases: null or empty html gives an empty text. Each run of text directly in the body, between its
+block elements, is a block of its own without a tag and is judged like others; a page without any
+block element is one text and is kept whole. Rows that repeat are extracted each by itself; nothing depends on other columns than page_id, url and
 html. An empty table gives an empty result.
 """
 
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .trees import Boosted
 
-#: Pages that the model is fitted on at most, and characters of each that count there.
+#: Pages that the model is fitted on at most, and characters that such a page may have.
 TRAIN_PAGES = 300
+TRAIN_CHARS = 50_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -77,17 +80,37 @@ def _tokens(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _option_end(source: str, at: int) -> int:
+    """Where the option whose content begins at ``at`` ends: its end tag may be left out, so any tag
+    but an inline one ends it."""
+    for m in _TAG.finditer(source, at):
+        tag = (m[2] or "").lower()
+        if tag == "option" and m[1]:
+            return m.end()
+        if tag and tag not in INLINE:
+            return m.start()
+    return len(source)
+
+
 def parse(source: str) -> Node:
-    """The tree of block elements; inline elements only add their text, links are counted."""
+    """The tree of block elements; inline elements only add their text, links are counted. Runs of
+    text directly in the body are nodes with an empty tag."""
     root = here = Node("body", frozenset(("body",)), None, 0)
     at, anchors, skip = 0, 0, ""
+    # the open run of text directly in the body
+    run: Node | None = None
 
     def add(text: str) -> None:
-        if text and not text.isspace():
-            here.own += len(text)
-            here.links += len(text) * (anchors > 0)
+        nonlocal run
+        blank = not text or text.isspace()
+        if here is root and run is None and not blank:
+            run = Node("", frozenset(), root, at)
+        x = run or here
+        if not blank:
+            x.own += len(text)
+            x.links += len(text) * (anchors > 0)
         if text:
-            here.parts.append(text)
+            x.parts.append(text)
 
     for m in _TAG.finditer(source):
         if m.start() < at:
@@ -100,7 +123,10 @@ def parse(source: str) -> Node:
             continue
         close = bool(m[1])
         if tag in RAW:
-            if not close and not m[3].rstrip().endswith("/"):
+            if tag == "option":
+                if not close:
+                    at = _option_end(source, at)
+            elif not close and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
             continue
@@ -112,7 +138,7 @@ def parse(source: str) -> Node:
                 root.words = root.words | _tokens(tag, m[3])
             continue
         if tag == "br":
-            here.parts.append("\n")
+            (run or here).parts.append("\n")
             continue
         if tag in VOID:
             continue
@@ -136,9 +162,14 @@ def parse(source: str) -> Node:
                 up = up.parent
             while up.parent is not None and up.tag in SAME[tag]:
                 here = up = up.parent
+        run = None
         here = Node(tag, _tokens(tag, m[3]), here, len(source[:0]) + m.start())
     if at < len(source):
         add(source[at:])
+    if len(root.children) == 1 and not root.children[0].tag:
+        # no block element at all
+        only = root.children.pop()
+        root.parts, root.own, root.links = only.parts, only.own, only.links
     return root
 
 
@@ -159,6 +190,7 @@ def _bucket(word: str) -> int:
 def features(found: list[Node]) -> np.ndarray:
     """A row for each node."""
     whole = max(1, found[0].text)
+    sectioned = any(x.tag in ("article", "main") for x in found)
     inherited: dict[int, tuple[int, int]] = {}
     rows = []
     for x in found:
@@ -176,7 +208,7 @@ def features(found: list[Node]) -> np.ndarray:
             [
                 x.depth, len(x.children), np.log1p(x.text), x.text / whole, x.text / x.tags, np.log1p(x.own), x.link / max(1, x.text), x.own / max(1, x.text),
                 main, aside, above[0], above[1], len(kin), same / len(kin), kin.index(x) / len(kin) if len(kin) < 64 else 0.5, x.text / max(1, max(texts)), np.log1p(sum(texts) / len(kin)),
-                up.text / up.tags, up.link / max(1, up.text), sum(c.link for c in kin) / max(1, sum(texts)), _TAGS.index(x.tag) if x.tag in _TAGS else -1, *hashed,
+                up.text / up.tags, up.link / max(1, up.text), sum(c.link for c in kin) / max(1, sum(texts)), _TAGS.index(x.tag) if x.tag in _TAGS else -1, sectioned, not x.tag, *hashed,
             ]
         )
     return np.array(rows, float)
@@ -219,9 +251,7 @@ def blocks(root: Node, kept: dict[int, bool]) -> list[str]:
             part = x.parts[at]
             at += 1
             if isinstance(part, str):
-                # bare text of the body is no block of an article
-                if x.parent is not None or len(x.children) == 0:
-                    text.append(part)
+                text.append(part)
                 continue
             flush()
             child = x.children[part]
@@ -278,14 +308,26 @@ def _reshaped(source: str, k: int) -> str:
     return re.sub(r"<p>(.*?)</p>", lambda m: shapes[i % len(shapes)].format(m[1]) if (i := next(at)) % 2 else m[0], source, flags=re.S)
 
 
+def _bare(inner: str, k: int) -> str:
+    """An article's content with every other paragraph as text without an element."""
+    at = iter(range(k, 10**9))
+    return re.sub(r"<p>(.*?)</p>", lambda m: m[1] if next(at) % 2 else m[0], inner, flags=re.S)
+
+
 def variants(source: str, k: int) -> list[str]:
-    """The page, and the page with other parts put before, after and inside its article."""
+    """The page, and the page with other parts put before, after and inside its article, or with the
+    article's text directly in the body."""
     words = re.sub(r"<[^>]*>|&\w+;?", " ", source).split()[40:120]
     out = [source, _reshaped(source, k)]
     body = source.lower().find("<article")
     if body >= 0:
         end = source.lower().find("</article>")
         out.append(source[:body] + _extra(words, k) + source[body:end] + _extra(words[::-1], k + 3) + source[end:])
+        few = " ".join(words[: k % 12 + 1]) or "x"
+        out.append(f"{source[:body]}{few}{source[body : end + 10]}{few[::-1]}{source[end + 10 :]}")
+        inner = source[body + 8 : end].partition(">")[2]
+        out.append(source[:body] + re.sub(r"</?p>", "<br>", inner) + source[end + 10 :])
+        out.append(source[:body] + _extra(words, k) + _bare(inner, k) + _extra(words[::-1], k + 3) + source[end + 10 :])
         out.append(source[:body] + _extra(words, k + 1) + "<main><div class='content'>" + source[body + 9 : end].partition(">")[2] + "</div></main>" + _extra(words[::-1], k + 2) + source[end:].replace("</article>", "", 1))
     return out
 
@@ -293,7 +335,7 @@ def variants(source: str, k: int) -> list[str]:
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Boosted:
     """The model, from the ``most`` pages whose html hashes smallest."""
     order = F.xxhash64(F.coalesce(F.col("html"), F.lit("")))
-    hashed = pages.select("html", order.alias("h")).where(F.length("html").between(1, 50_000))
+    hashed = pages.select("html", order.alias("h")).where(F.length("html").between(1, TRAIN_CHARS))
     # only hashes are ranked; then equal pages count once, and no more than ``most`` reach the driver
     cut = hashed.groupBy("h").agg(F.lit(1)).select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).first().h
     sample = [] if cut is None else hashed.where(F.col("h") <= cut).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()

@@ -74,6 +74,31 @@ def test_main_text_of_other_templates(spark, sf):
     assert html.main_text(page, model) == f"Head & line\n{clean}\nSecond é {clean}\n{clean}"
 
 
+def test_text_directly_in_the_body(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html.fit(given)
+    assert html.main_text("<body><nav>Home</nav>Article text<br><br>more</body>", model) == "Article text more"
+    assert html.main_text("<h1>T</h1>text<p>para</p>text", model) == "T\ntext\npara\ntext"
+    assert html.main_text("only &amp; text", model) == "only & text"
+    wrong = 0
+    for r in given.collect():
+        bare = re.sub(r"<article>(.*?)</article>", lambda m: re.sub(r"</?p>", "<br>", m[1]), r.html, flags=re.S)
+        wrong += html.main_text(bare, model).split() != expected(r.html).split()
+    assert wrong == 0
+    # a few words beside an article are judged, and not taken
+    assert html.main_text("Skip to content<article><h1>T</h1><p>Text of it.</p></article>", model) == "T\nText of it."
+
+
+def test_unclosed_options_end():
+    def seen(source):
+        return sorted(p.strip() for x in html.nodes(html.parse(source)) for p in x.parts if isinstance(p, str) and p.strip())
+
+    assert seen("<datalist><option value=a>x<option>y</datalist><p>text</p>") == ["text"]
+    assert seen("<datalist><option>x</option><option>y</datalist><p>one</p><select><option>z</select>two") == ["one", "two"]
+    assert seen("<div><option>x</div><p>text</p>") == ["text"]
+    assert seen("<p>a</p><option>x <b>y</b>") == ["a"]
+
+
 def test_page_edges(pages):
     rows = html.extract(pages).collect()
     assert len(rows) == pages.count()
