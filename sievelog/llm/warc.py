@@ -2,7 +2,8 @@
 
 Every record is a gzip member of its own. The reader deals byte ranges to tasks; a task scans its
 range for gzip magic, accepts a candidate only if it decodes to a WARC version line and complete
-headers, and owns the records that start inside its range, reading past its end for the last one.
+headers, of whatever length, and owns the records that start inside its range, reading past its end
+for the last one. It fails if their number isn't the number that the manifest's starts give its range.
 
 Files go to the folder that Spark shares, through pyarrow's file systems, each under a name that
 only its task attempt uses; readers take the names that the written manifest holds, so that files
@@ -19,6 +20,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +36,8 @@ LEAST_PAYLOAD = 0
 SPLIT = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
-#: A candidate's headers must end within this many decoded bytes.
-_HEADERS = 1 << 16
+#: Bytes that a candidate's headers are decoded by.
+_PIECE = 1 << 16
 
 FIELDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -74,12 +76,12 @@ def _filesystem(path: str):
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html, refers_to); returns the manifest (path, size, records)."""
+    """Writes ``pages`` (page_id, url, html, refers_to); returns the manifest (path, size, records, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
-        name, records, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
+        name, starts, size = f"pages-{uuid.uuid4().hex}.warc.gz", array("q"), 0
         out = None
         for batch in batches:
             html = pc.fill_null(batch.column("html"), "").cast(pa.binary())
@@ -88,13 +90,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 out = out or files.open_output_stream(f"{root}/{name}", compression=None)
                 data = record(batch.column("page_id")[i].as_py(), batch.column("url")[i].as_py(), payload, digest(payload), batch.column("refers_to")[i].as_py())
                 out.write(data)
+                starts.append(size)
                 size += len(data)
-                records += 1
         if out:
             out.close()
-            yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], names=["path", "size", "records"])
+            yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([len(starts)], pa.int64()), pa.array([starts], pa.list_(pa.int64()))], names=["path", "size", "records", "starts"])
 
-    return materialize(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, size long, records long"), "manifest")
+    return materialize(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, size long, records long, starts array<long>"), "manifest")
 
 
 def _headers(text: bytes) -> dict[str, str] | None:
@@ -121,18 +123,22 @@ class _Source:
 
 def _begins(source: _Source, place: int) -> bool:
     """Whether a gzip member that decodes to WARC headers starts at ``place``."""
-    decoder, text, at = zlib.decompressobj(31), b"", place
+    decoder, text, at, stop = zlib.decompressobj(31), bytearray(), place, -1
     try:
-        while b"\r\n\r\n" not in text and len(text) < _HEADERS and at < source.size and not decoder.eof:
-            data = source.at(at, 1 << 12)
-            at += len(data)
-            text += decoder.decompress(data, _HEADERS - len(text))
+        while stop < 0 and not decoder.eof:
+            data = decoder.unconsumed_tail or source.at(at, 1 << 12)
+            if not data:
+                break
+            at += 0 if decoder.unconsumed_tail else len(data)
+            known = len(text)
+            text += decoder.decompress(data, _PIECE)
             if len(text) >= 7 and not text.startswith(b"WARC/1."):
                 return False
+            stop = text.find(b"\r\n\r\n", max(0, known - 3))
     except zlib.error:
         return False
-    head, end, _ = text.partition(b"\r\n\r\n")
-    return bool(end) and (found := _headers(head)) is not None and "warc-type" in found and found.get("content-length", "").isdigit()
+    head = bytes(text[: max(0, stop)])
+    return stop >= 0 and (found := _headers(head)) is not None and "warc-type" in found and found.get("content-length", "").isdigit()
 
 
 def _member(source: _Source, place: int) -> tuple[bytes, int]:
@@ -177,7 +183,7 @@ def parsed(text: bytes) -> tuple:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> DataFrame:
-    """Every record of the archives in ``manifest`` (path, size), with its payload."""
+    """Every record of the archives in ``manifest`` (path, size, starts), with its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in FIELDS.split(", ")]
@@ -189,18 +195,23 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split: int = SPLIT)
         for batch in batches:
             for part in batch.to_pylist():
                 files, path = _filesystem(part["path"])
-                rows, held = [], 0
+                rows, held, read = [], 0, 0
                 with files.open_input_file(path) as file:
                     for text in records_in(_Source(file, part["size"]), part["start"], part["start"] + split):
                         rows.append(parsed(text))
+                        read += 1
                         held += len(text)
                         if held > _READ * 16:
                             yield made(rows)
                             rows, held = [], 0
+                if read != part["records"]:
+                    raise ValueError(f"{read} records read of {part['records']} in {part['path']} from {part['start']}")
                 if rows:
                     yield made(rows)
 
     splits = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
+    starts = manifest.select("path", F.explode("starts").alias("at")).groupBy("path", (F.col("at") - F.col("at") % split).alias("start")).agg(F.count("*").alias("records"))
+    splits = splits.join(starts, ["path", "start"], "left").fillna(0, "records")
     return splits.repartition("path", "start").mapInArrow(run, FIELDS)
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sievelog.llm import html, perspectives, sharding, warc
 from sievelog.llm.common import scratch_path
@@ -46,6 +47,18 @@ def test_splits_own_each_record_once(spark, pages, split):
     assert all(payloads[r.page_id] == (r.html or "").encode() for r in part.collect() if r.page_id in payloads)
 
 
+def test_long_urls_and_lost_records(spark):
+    long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000))
+    given = spark.createDataFrame([(1, "u", "a"), (2, "data:" + "x" * 70_000, "b"), (3, long, "c"), (4, "v", "d")], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.deduplicated(given.coalesce(1)), scratch_path(spark, "warc"))
+    for split in (1000, 1 << 22):
+        got = warc.read_archives(spark, manifest, split)
+        assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got.collect()) == sorted(map(tuple, given.collect()))
+    more = manifest.withColumn("starts", F.concat("starts", F.array(F.lit(1).cast("long"))))
+    with pytest.raises(Exception, match="records read of"):
+        warc.read_archives(spark, more).collect()
+
+
 def expected(source):
     body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     parts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"</?p>|</?h1>|<br>", body)]
