@@ -97,6 +97,14 @@ def nested_multi_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.followed_rows(rows, "supplier", "part", {"brand": True}).where("part is not null").select("id", F.col("part").alias("part_id"), "brand")
 
 
+@registered("SELECT DISTINCT 'supplier_'||l_suppkey id, 'part_'||l_partkey part_id, p_brand brand FROM lineitem JOIN part ON l_partkey=p_partkey")
+def nested_multi_ref_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier with the parts it refers to."""
+    planner = plan(spark, sf_dir)
+    rows = planner.followed_rows(planner.roots(q("supplier")), "supplier", "part", {"brand": True})
+    return rows.where("part is not null").select("id", F.col("part").alias("part_id"), "brand")
+
+
 @registered("SELECT 'order_'||o_orderkey id, l_linenumber line, l_extendedprice price FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey WHERE o_orderstatus='F'")
 def subquery_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = q("order").where("status", "F").select(lambda row: {"items": q("lineitem").where("order", row).select({"line": True, "price": True})})
@@ -125,6 +133,14 @@ def subquery_at_ref_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.explode("customer.orders").alias("o")).select("id", F.col("o.id").alias("sibling"))
 
 
+@registered("SELECT 'order_'||a.o_orderkey id, 'order_'||b.o_orderkey sibling FROM orders a JOIN orders b ON a.o_custkey=b.o_custkey")
+def subquery_at_ref_depth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the orders of its customer."""
+    query = q("order").select({"customer": lambda row: {"orders": q("order").where("customer", row)}})
+    rows = plan(spark, sf_dir).run(query)
+    return rows.select("id", F.explode("customer.orders").alias("o")).select("id", F.col("o.id").alias("sibling"))
+
+
 @registered("SELECT 'region_'||r_regionkey id, 'nation_'||n_nationkey nation_id FROM region CROSS JOIN (SELECT * FROM nation ORDER BY 'nation_'||n_nationkey LIMIT 2)")
 def subquery_uncorrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan(spark, sf_dir).run(q("region").select({"nations": q("nation").limit(2)}))
@@ -346,11 +362,21 @@ def delta_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commit: every P order becomes F. Each of five readers gets the changed orders of its own customer."""
+    return _sent_to(spark, sf_dir, _events(spark, sf_dir).where("user_id < 5"))
+
+
+@registered("SELECT 'user_'||user_id actor, 'order_'||o_orderkey subject FROM (SELECT DISTINCT user_id FROM events) JOIN orders ON o_custkey=user_id WHERE o_orderstatus='P'")
+def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same commit, to every user of the events."""
+    return _sent_to(spark, sf_dir, _events(spark, sf_dir).dropDuplicates(["user_id"]))
+
+
+def _sent_to(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
     from sievelog.streaming.live import fan_out as sent
 
     before = {"order": Tables(spark, sf_dir)["order"]}
     after = {"order": before["order"].withColumn("status", F.when(F.col("status") == "P", "F").otherwise(F.col("status")))}
-    readers = _events(spark, sf_dir).where("user_id < 5").select(F.col("user").alias("id"), F.concat(F.lit("customer_"), F.col("user_id").cast("string")).alias("customer"))
+    readers = users.select(F.col("user").alias("id"), F.concat(F.lit("customer_"), F.col("user_id").cast("string")).alias("customer"))
     rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities} | {"order": EntityPolicy(read=lambda c: c["customer"] == c.actor("customer"))}
     return sent(Policy(SCHEMA, rules), SCHEMA, "order", before, after, readers, changed_rows(spark, sf_dir)).select("actor", "subject").distinct()
 
