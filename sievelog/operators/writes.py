@@ -176,17 +176,21 @@ def compile_operations(schema: Schema, operations: Iterable[Operation], facts_of
 def compile_bulk(operations: DataFrame, facts: DataFrame) -> DataFrame:
     """Changes (op, fact) of an operation table (seq, kind, fact): the last operation wins.
 
-    A set removes the field's other values, a delete all of a subject's facts, each at its place in
-    the order; adds and removes after it still count.
+    A set removes the field's other values, a delete all of a subject's facts and all references to
+    it, each at its place in the order; adds and removes after it still count.
     """
     sets = operations.where("kind = 'set'").groupBy("subject", "predicate").agg(F.max("seq").alias("set_at"))
     deletes = operations.where("kind = 'delete'").groupBy("subject").agg(F.max("seq").alias("deleted_at"))
     old = facts.select(F.lit(-1).cast("long").alias("seq"), F.lit("+").alias("op"), *FACT)
     new = operations.where("kind <> 'delete'").select(F.col("seq").cast("long"), F.when(F.col("kind") == "remove", "-").otherwise("+").alias("op"), *FACT)
-    rows = old.join(operations.select("subject").distinct(), "subject", "left_semi").unionByName(new)
+    swept = deletes.select(F.col("subject").alias("gone"), F.col("deleted_at").alias("swept_at"))
+    pointing = lambda rows: (rows["tag"] == "r") & (rows["s"] == swept["gone"])
+    own = old.join(operations.select("subject").distinct(), "subject", "left_semi")
+    rows = own.unionByName(old.join(swept, pointing(old), "left_semi")).unionByName(new)
     last = rows.groupBy(*FACT).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"), F.max(F.col("seq") < 0).alias("was"))
     last = last.join(sets, ["subject", "predicate"], "left").join(deletes, "subject", "left")
-    cut = F.greatest(F.coalesce("set_at", F.lit(-2)), F.coalesce("deleted_at", F.lit(-2)))
+    last = last.join(swept, pointing(last), "left")
+    cut = F.greatest(*(F.coalesce(at, F.lit(-2)) for at in ("set_at", "deleted_at", "swept_at")))
     stays = (F.col("op") == "+") & (F.col("seq") >= cut)
     return last.withColumn("now", stays).where("now <> was").select(F.when(F.col("now"), "+").otherwise("-").alias("op"), *FACT)
 

@@ -83,6 +83,45 @@ def test_pending_layers_and_bulk_operations(spark):
     assert got == [("+", "todo_2", "r"), ("+", "todo_3", "v"), ("-", "todo_1", "q"), ("-", "todo_2", "p")]
 
 
+def test_bulk_operations_sweep_references(spark):
+    import random
+
+    from sievelog.operators.writes import compile_operations
+
+    schema = Schema({"user": {"name": string().optional()}, "team": {"name": string().optional(), "member": ref("user").multiple()}, "todo": {"owner": ref("user").optional(), "team": ref("team").optional(), "tags": string().multiple()}})
+    columns = "seq long, kind string, subject string, predicate string, tag string, s string, n double, b boolean"
+    some = random.Random(7)
+    ids = {e: [f"{e}_{i}" for i in range(4)] for e in schema.entities}
+    held, queued, state = [], [], set()
+    fields = [("user", "name", None), ("team", "name", None), ("team", "member", "user"), ("todo", "owner", "user"), ("todo", "team", "team"), ("todo", "tags", None)]
+    many = {"member", "tags"}
+    for i in range(260):
+        entity, field, to = some.choice(fields)
+        subject, target = some.choice(ids[entity]), some.choice(ids[to]) if to else some.choice("xyz")
+        fact = (subject, f"{entity}/{field}", "r" if to else "s", target, None, None)
+        if i > 60 and some.random() < 0.15:
+            op = (Operation("delete", subject), "delete", (subject, None, None, None, None, None))
+        elif field not in many:
+            op = (Operation("set", subject, field, Ref(target) if to else target), "set", fact)
+        else:
+            kind = "remove" if fact in state else "add"
+            op = (Operation(kind, subject, field, Ref(target) if to else target), kind, fact)
+        before = set(state)
+        added, removed = compile_operations(schema, [op[0]], lambda s: {f for f in before if f[0] == s}, lambda s: {f for f in before if f[2] == "r" and f[3] == s})
+        state = (state - removed) | added
+        if i < 60:
+            held = sorted(state, key=str)
+        else:
+            queued.append((i, op[1], *op[2]))
+    facts = spark.createDataFrame(held, columns.split("kind string, ")[1])
+    delta = [(r[0], tuple(r[1:])) for r in compile_bulk(spark.createDataFrame(queued, columns), facts).collect()]
+    assert len(delta) == len(set(delta)) and any(k == "delete" for _, k, *_ in queued)
+    assert (set(held) - {f for o, f in delta if o == "-"}) | {f for o, f in delta if o == "+"} == state
+    one = facts.where("false").union(spark.createDataFrame([("todo_1", "todo/owner", "r", "user_1", None, None)], facts.schema))
+    gone = spark.createDataFrame([(0, "delete", "user_1", None, None, None, None, None)], columns)
+    assert [(r.op, r.subject, r.s) for r in compile_bulk(gone, one).collect()] == [("-", "todo_1", "user_1")]
+
+
 def test_live_readers(spark, tmp_path):
     engine = Engine(Warehouse(spark, f"file://{tmp_path}"), SCHEMA, OWN)
     fields = {"text": "x", "done": False, "owner": Ref("user_a")}
