@@ -200,15 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Attention
     return Attention().fit(np.concatenate(x).astype(float) if x else np.zeros((0, WIDTH)), bags, np.array([float(r.quality > 0) for r in made]))
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
+def scores(docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text), and its ``key``, a long."""
+    carried = [key] if key else []
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.value.score(x, bags) for x, bags in passages(batch.column("text"))]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(found) if found else [], pa.float64()), *map(batch.column, carried)], names=["doc_id", "score", *carried])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(frugal(run), "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    scored = rows.mapInArrow(frugal(run), ", ".join(["doc_id long, score double", *(f"{c} long" for c in carried)]))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), *carried)
