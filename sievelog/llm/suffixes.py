@@ -9,8 +9,9 @@ The benchmark is the stated query set. It is dealt to the tasks in blocks of at
 ``BLOCK_WORDS`` words, a block at a time, so what is broadcast is bounded whatever its size.
 
 Cases: null or wordless documents have no words and no hits; null or wordless items are searched
-for nothing. Items with equal texts all count. Rows that repeat are judged each by itself. Empty
-tables give empty results or clean documents. Other columns are ignored.
+for nothing. Items with equal texts all count; those with a null item_id are searched too and count as
+one item. Rows that repeat, or share a doc_id, are judged each by itself, with one block or several.
+Empty tables give empty results or clean documents. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import frugal, materialize
 from .words import ALNUM, hashed_words
 
 WINDOW = 13
 #: Words of benchmark text that go to the tasks at once.
 BLOCK_WORDS = 2_000_000
 #: Rows of benchmark text that the driver reads at a time.
+ROW = "__row"
 FOUND = "doc_id long, n_words long, n_hit long, longest long, items array<string>, matches array<struct<item_id:string,item_at:long,doc_at:long,length:long>>"
 
 
@@ -122,8 +124,13 @@ def _shard(items: Items, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[in
                 yield int(at), item, item_at, len(window)
 
 
-def matcher(shared):
-    """A function over Arrow batches (doc_id, text) that reports each document's matches."""
+def _by_name(name: str | None) -> tuple[bool, str]:
+    return name is None, name or ""
+
+
+def matcher(shared, keyed: bool = False):
+    """A function over Arrow batches (doc_id, text) that reports each document's matches. ``keyed``
+    batches have the column ROW, which is carried along as the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
@@ -157,10 +164,11 @@ def matcher(shared):
                         pa.array(counts, pa.int64()),
                         pa.array(hits, pa.int64()),
                         pa.array([max((m["length"] for m in x), default=0) for x in matches], pa.int64()),
-                        pa.array([sorted({items.names[j] for j in named.get(i, ())}) for i in range(n)], pa.list_(pa.string())),
+                        pa.array([sorted({items.names[j] for j in named.get(i, ())}, key=_by_name) for i in range(n)], pa.list_(pa.string())),
                         pa.array(matches, pa.list_(pa.struct([("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64()), ("length", pa.int64())]))),
+                        *([batch.column(ROW).slice(words.lo, n)] if keyed else []),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "longest", "items", "matches"],
+                    names=["doc_id", "n_words", "n_hit", "longest", "items", "matches", *([ROW] if keyed else [])],
                 )
 
     return run
@@ -169,7 +177,7 @@ def matcher(shared):
 def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, read one partition at a time."""
     names, words, total = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         (found,) = hashed_words(pa.array([row.text]), ALNUM)
         if total and total + len(found.key) > most:
             yield Items(names, words, window)
@@ -183,19 +191,23 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS)
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words hit, items found, and its verbatim runs with their places.
 
-    With several benchmark blocks there is a row for each document and block; ``decontaminate``
-    and ``op2`` combine them.
+    With several benchmark blocks the documents are written with a key for each row, by which the
+    blocks' rows are combined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [docs.mapInArrow(frugal(matcher(docs.sparkSession.sparkContext.broadcast(block))), FOUND) for block in blocks(benchmark, window)]
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark, window)]
+    if len(shared) == 1:
+        return docs.mapInArrow(frugal(matcher(shared[0])), FOUND)
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    parts = [keyed.mapInArrow(frugal(matcher(block, True)), f"{FOUND}, {ROW} long") for block in shared]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out if len(parts) == 1 else _combined(out)
+    return _combined(out)
 
 
 def _combined(found: DataFrame) -> DataFrame:
-    """One row a document from its rows of several blocks; hits are counted over the union of runs."""
+    """One row for each ROW from its rows of several blocks; hits are counted over the union of runs."""
     runs = F.array_sort(F.flatten(F.collect_list("matches")), lambda x, y: F.when(x.doc_at < y.doc_at, -1).when(x.doc_at > y.doc_at, 1).otherwise(0))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("sum"))
     cover = F.aggregate(
@@ -204,7 +216,7 @@ def _combined(found: DataFrame) -> DataFrame:
         lambda s, m: F.struct(F.greatest(s["end"], m["doc_at"] + m["length"]).alias("end"), (s["sum"] + F.greatest(F.lit(0).cast("long"), m["doc_at"] + m["length"] - F.greatest(s["end"], m["doc_at"]))).alias("sum")),
         lambda s: s["sum"],
     )
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("matches"))
+    merged = found.groupBy(ROW).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("matches"))
     return merged.select("doc_id", "n_words", cover.alias("n_hit"), "longest", "items", "matches")
 
 

@@ -160,6 +160,18 @@ def test_contamination_in_blocks(spark, monkeypatch):
     assert got == brute_hits(rows, items)
 
 
+def test_rows_of_one_id_in_blocks(spark, monkeypatch):
+    items = [(i, " ".join(WORDS[i * 10 : i * 10 + 20])) for i in range(12)] + [(None, " ".join(WORDS[300:320]))]
+    rows = [(1, " ".join(WORDS[:130])), (1, "other text"), (None, " ".join(WORDS[5:40])), (None, " ".join(WORDS[200:])), (None, None), (2, "x"), (2, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(str, suffixes.contamination(df, bench).collect()))
+    monkeypatch.setattr(suffixes.blocks, "__defaults__", (13, 50))
+    assert sorted(map(str, suffixes.contamination(df, bench).collect())) == one and len(one) == len(rows)
+    # the item without an id is found: 20 of 200 words
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in suffixes.contamination(df, bench).where("n_words = 200").collect()] == [(20, 1, True)]
+
+
 @pytest.mark.parametrize("which", ["docs", "edges"])
 def test_exact_duplicates(which, request):
     df = request.getfixturevalue(which)
