@@ -266,8 +266,10 @@ class Planner:
     def cursor_of(self, query: Query) -> tuple[Any, str] | None:
         """(order value, id) of the last row of the window, whether or not it is selected."""
         col = F.col(query.order[0]) if query.order else F.lit(None)
-        rows = self.roots(query).select(col.alias("v"), "id").collect()
-        return (rows[-1].v, rows[-1].id) if rows and query.take is not None and len(rows) == query.take else None
+        if not query.take:
+            return None
+        rows = self.roots(query).select(col.alias("v"), "id").offset(query.take - 1).limit(1).collect()
+        return (rows[0].v, rows[0].id) if rows else None
 
     def payload_facts(self, query: Query) -> DataFrame:
         """The facts a cache needs to answer the query: subject, predicate, value as text, without repeats.

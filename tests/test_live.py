@@ -83,6 +83,19 @@ def test_pending_layers_and_bulk_operations(spark):
     assert got == [("+", "todo_2", "r"), ("+", "todo_3", "v"), ("-", "todo_1", "q"), ("-", "todo_2", "p")]
 
 
+def test_cursor_is_the_last_row_only(spark, monkeypatch):
+    from sievelog.plans.planner import Planner
+
+    planner = Planner(SCHEMA, {"todo": todos(spark, *[(f"todo_{i}", f"x{i % 7}", True, "user_a", None) for i in range(40)]).repartition(5)})
+    for n in (1, 9, 40):
+        for query in (Query.of(SCHEMA, "todo").order_by("text").limit(n), Query.of(SCHEMA, "todo").order_by("text", "desc").limit(n)):
+            last = planner.roots(query).collect()[-1]
+            assert planner.cursor_of(query) == (last.text, last.id)
+    assert planner.cursor_of(Query.of(SCHEMA, "todo").order_by("text").limit(41)) is None
+    monkeypatch.setattr(planner, "roots", None)
+    assert planner.cursor_of(Query.of(SCHEMA, "todo").order_by("text")) is None
+
+
 def test_bulk_operations_sweep_references(spark):
     import random
 
