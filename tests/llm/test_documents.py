@@ -216,6 +216,49 @@ def test_splicing(docs, name, chunk, overlap):
         assert np.array_equal(tokens.spliced(text, tool.traced, chunk, overlap), tool.whole(text))
 
 
+ALPHABET = [*"abcXYZ  \n\t.,;:!?'*&#0123é ÀİßñŒ×÷ΣǅＡ\u0301\u0307\xa0\x85\x1c…。、汉字가각가🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "'s"]
+
+
+@pytest.mark.parametrize("memo", [tokens.MEMO, 5])
+def test_words_in_arrays(monkeypatch, memo):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MEMO", memo)
+    monkeypatch.setattr(tokens, "_encoders", {})
+    some = random.Random(5)
+    texts = [None, "", "x" * 100 + " y", *("".join(some.choice(ALPHABET) for _ in range(some.randrange(60))) for _ in range(3000))]
+    tool, column = tokens.encoder(tokenizer_path()), pa.array(texts, pa.string())
+    want = [tool.whole(t or "") for t in texts]
+    assert all(np.array_equal(np.frombuffer(x, "<u4"), w) for x, w in zip(tokens.encoded_rows(column, tokenizer_path(), 500), want, strict=True))
+    assert tokens.counted_rows(column, tokenizer_path()).tolist() == [len(w) for w in want] and tool.known <= memo
+    assert [x for x in tokens.encoded_rows(column[:0], tokenizer_path())] == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_splicing_without_space(name):
+    """Stable places between characters of unlike classes; reading stays in proportion to the text."""
+    import random
+
+    tool, some = tokens.Encoder(tokenizer_path(name)), random.Random(2)
+    for _ in range(60):
+        text = "".join(some.choice(ALPHABET) for _ in range(1500))
+        for chunk, overlap in ((70, 20), (500, 40)):
+            assert np.array_equal(tokens.spliced(text, tool.traced, chunk, overlap, tool.places), tool.whole(text))
+    read = []
+
+    def traced(text):
+        read.append(len(text))
+        return tool.traced(text)
+
+    for every in (20, 10**9):
+        text = "".join("。" if i % every == 5 else chr(0x4E00 + some.randrange(3000)) for i in range(60_000))
+        read.clear()
+        assert np.array_equal(tokens.spliced(text, traced, 4096, 256, tool.places), tool.whole(text))
+        assert sum(read) < 6 * len(text)
+
+
 @pytest.mark.parametrize("which", ["docs", "edges"])
 def test_packing(which, request):
     from tokenizers import Tokenizer
