@@ -172,6 +172,59 @@ def test_rows_of_one_id_in_blocks(spark, monkeypatch):
     assert [(r.n_hit, r.n_items, r.contaminated) for r in suffixes.contamination(df, bench).where("n_words = 200").collect()] == [(20, 1, True)]
 
 
+def test_suffix_search_against_brute_force(monkeypatch):
+    """Random sequences over few words: hits, items, longest matches of any length, and every run's place."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(1, 2**63, 9, dtype=np.uint64)
+    for trial in range(60):
+        window = int(rng.integers(1, 6))
+        letters = int(rng.integers(2, 9))
+        items = [rng.integers(0, letters, rng.integers(0, 9)).tolist() for _ in range(6)]
+        docs = [rng.integers(0, 9, rng.integers(0, 40)).tolist() for _ in range(5)]
+        made = suffixes.Items([str(i) for i in range(6)], [hashes[x] if x else np.zeros(0, np.uint64) for x in items], window)
+        counts = np.array([len(d) for d in docs])
+        got = pa.RecordBatch.from_arrays(suffixes._judged(made, hashes[[w for d in docs for w in d]], counts), ["n", "hit", "longest", "items", "matches"]).to_pylist()
+        for doc, row in zip(docs, got, strict=True):
+            hit, named, runs, longest = set(), set(), set(), 0
+            for k, item in enumerate(items):
+                for at in range(len(item)):
+                    for d in range(len(doc)):
+                        same = 0
+                        while at + same < len(item) and d + same < len(doc) and item[at + same] == doc[d + same]:
+                            same += 1
+                        longest = max(longest, same)
+                        if same >= (least := min(window, len(item))):
+                            hit.update(range(d, d + same))
+                            named.add(str(k))
+                            if not (at and d and item[at - 1] == doc[d - 1]):
+                                runs.add((str(k), at, d, same))
+            assert (row["n"], row["hit"], row["longest"], row["items"]) == (len(doc), len(hit), longest, sorted(named))
+            # single words that touch on a diagonal of a one-word item are places of their own
+            assert {(m["item_id"], m["item_at"], m["doc_at"], m["length"]) for m in row["matches"]} == runs
+
+
+def test_suffix_search_stays_in_proportion():
+    import time
+
+    import pyarrow as pa
+
+    words = [f"v{i}" for i in range(30_000)]
+    order = np.random.default_rng(0).zipf(1.3, 200_000) % 30_000
+    texts = [" ".join(words[j] for j in order[i : i + 1000]) for i in range(0, 200_000, 1000)]
+    many = suffixes.Items([str(i) for i in range(200)], [next(suffixes.hashed_words(pa.array([t]), suffixes.ALNUM)).key for t in texts], 13)
+    doc = " ".join(words[j] for j in np.random.default_rng(1).zipf(1.3, 60_000) % 30_000) + " " + " ".join(texts[3].split()[100:900])
+    one = suffixes.Items(["a", "b"], [next(suffixes.hashed_words(pa.array([t]), suffixes.ALNUM)).key for t in ("alpha", " ".join(words[:30]))], 13)
+    began = time.process_time()
+    ((_, keys, counts),) = suffixes._shards(pa.array([doc]))
+    assert suffixes._judged(many, keys, counts)[2].to_pylist()[0] >= 800
+    for text, hits in (("alpha " * 170_000, 170_000), ((" ".join(words[:30]) + " ") * 9000, 270_000)):
+        ((_, keys, counts),) = suffixes._shards(pa.array([text]))
+        assert suffixes._judged(one, keys, counts)[1].to_pylist() == [hits]
+    assert time.process_time() - began < 10
+
+
 @pytest.mark.parametrize("which", ["docs", "edges"])
 def test_exact_duplicates(which, request):
     df = request.getfixturevalue(which)
@@ -298,6 +351,39 @@ def test_packing_operators():
     assert len(one) == 4 and [sorted(b) for b in packing._bins(packing._placed(one, len(size)))] == [sorted(b) for b in one]
 
 
+def fewest_bins(size):
+    """The optimum, by trying every bin for every piece, largest first."""
+    size, best = sorted(size, reverse=True), [len(size)]
+
+    def put(at, room):
+        if len(room) >= best[0]:
+            return
+        if at == len(size):
+            best[0] = len(room)
+            return
+        for i in {r: i for i, r in enumerate(room) if r >= size[at]}.values():
+            put(at + 1, [*room[:i], room[i] - size[at], *room[i + 1 :]])
+        put(at + 1, [*room, 2048 - size[at]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_finds_the_optimum():
+    import random
+
+    rng = random.Random(4)
+    short = 0
+    for seed in range(40):
+        size = [rng.randrange(150, 1500) for _ in range(11)]
+        bins, best = packing.evolve(size, seed, []), fewest_bins(size)
+        assert sorted(x for b in bins for x in b) == list(range(11)) and packing.rooms(bins, size) == bins.room and min(bins.room) >= 0
+        assert len(bins) in (best, best + 1)
+        short += len(bins) > best
+    assert short <= 1
+    assert packing.evolve([], 1, []) == [] and packing.evolve([2048, 2048], 1, []) == [[0], [1]]
+
+
 def test_quality_held_out(spark):
     """Trained at sf0.01; held-out documents are ranked and cut well."""
     sf = "/root/testdata/sf0.01"
