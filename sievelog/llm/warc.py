@@ -9,7 +9,8 @@ Files go to the folder that Spark shares, through pyarrow's file systems, each u
 only its task attempt uses; readers take the names that the written manifest holds, so that files
 of lost or repeated attempts are never read.
 
-Cases: null html is an empty payload. Equal payloads with one page_id that is the largest are all
+Cases: null html is an empty payload; urls, headers and payloads may have any length, and a record is
+held by one task. Equal payloads with one page_id that is the largest are all
 response; a null page_id is never a target and, with an equal payload elsewhere, revisits. Empty
 tables give an empty result. Other columns are ignored.
 """
@@ -32,8 +33,8 @@ from .common import attach, materialize, scratch_path
 
 #: Payloads below this many bytes are never revisits.
 LEAST_PAYLOAD = 0
-#: Bytes of an archive that a task reads.
-SPLIT = 4 << 20
+#: Bytes of a split, and the most splits that a task reads one after the other.
+SPLIT, SPLITS_A_TASK = 4 << 20, 64
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
 #: Bytes that a candidate's headers are decoded by.
@@ -212,7 +213,10 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split: int = SPLIT)
     splits = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     starts = manifest.select("path", F.explode("starts").alias("at")).groupBy("path", (F.col("at") - F.col("at") % split).alias("start")).agg(F.count("*").alias("records"))
     splits = splits.join(starts, ["path", "start"], "left").fillna(0, "records")
-    return splits.repartition("path", "start").mapInArrow(run, FIELDS)
+    # a split is a tiny row, so the number of tasks follows from the archives' bytes, not from Spark's
+    total = manifest.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 0
+    tasks = max(min(total, 8 * spark.sparkContext.defaultParallelism), -(-total // SPLITS_A_TASK), 1)
+    return splits.repartition(int(tasks)).mapInArrow(run, FIELDS)
 
 
 def deduplicated(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:

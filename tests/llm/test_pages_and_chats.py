@@ -59,6 +59,23 @@ def test_long_urls_and_lost_records(spark):
         warc.read_archives(spark, more).collect()
 
 
+def test_splits_are_dealt_to_tasks(spark, pages):
+    manifest = warc.write_archives(warc.deduplicated(pages.coalesce(1)), scratch_path(spark, "warc"))
+    splits = -(-manifest.first().size // 4000)
+    got = warc.read_archives(spark, manifest, 4000)
+    assert splits > 8 and got.rdd.getNumPartitions() == min(splits, 8 * spark.sparkContext.defaultParallelism)
+    assert got.count() == pages.count()
+
+
+def test_archives_of_empty_tables_and_clashing_columns(spark):
+    columns = "page_id long, url string, html string, name string, n int, target long, refers_to long, record_type string, path string"
+    row = (1, "u", "a", "x", 7, 8, 9, "resource", "p")
+    given = spark.createDataFrame([row, (2, None, "a", *row[3:]), (None, "u", None, *row[3:])], columns)
+    got = warc.round_trip(given).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 1, "revisit", 2), (2, 1, "response", None), (None, 0, "response", None)]
+    assert warc.round_trip(given.limit(0)).count() == 0
+
+
 def expected(source):
     body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     parts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"</?p>|</?h1>|<br>", body)]
