@@ -119,6 +119,57 @@ def test_text_directly_in_the_body(spark):
     assert html.main_text("Skip to content<article><h1>T</h1><p>Text of it.</p></article>", model) == "T\nText of it."
 
 
+PROSE = ["The thing inand shed of errethe thand onesth, and the reand ou therha with blending thion. " * n for n in (2, 3, 4)]
+A, B, C = (p.strip() for p in PROSE)
+MENU = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "News", "Sport", "About us"))
+LAYOUTS = {
+    "plain blocks": (f"<body><div><p>{A}</p><p>{B}</p></div></body>", [A, B]),
+    "blocks beside a menu": (f"<body><div><ul>{MENU}</ul></div><div><h1>Head line of it</h1><p>{A}</p><p>{B}</p></div><div>&copy; 2024 <a href='/i'>imprint</a></div></body>", ["Head line of it", A, B]),
+    "table": (f"<body><table><tr><td><ul>{MENU}</ul></td><td><p>{A}</p><p>{B}</p></td></tr></table></body>", [A, B]),
+    "bare body": (f"<body>{A}<br><br>{B}<p>{C}</p></body>", [f"{A} {B}", C]),
+    "list": (f"<body><nav><ul>{MENU}</ul></nav><article><ul><li>{A}</li><li>{B}</li></ul></article></body>", [A, B]),
+    "named block": (f'<body><ul class="menu">{MENU}</ul><div class="post-content"><p>{A}</p><blockquote>{B}</blockquote></div></body>', [A, B]),
+    "nested comments": (f'<body><article><p>{A}</p><p>{B}</p></article><section class="comments"><article class="comment"><p>{C}</p><article class="comment reply"><p>{A}</p></article></article></section></body>', [A, B]),
+    "aside inside": (f'<body><main><p>{A}</p><aside><p>See also this</p></aside><p>{B}</p></main><footer>{A[:60]}</footer></body>', [A, B]),
+    "unclosed": (f"<body><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav><article><p>{A}<p>{B}</article>", [A, B]),
+    "formula": (f"<body><article><p>{A} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {B}</p></article></body>", [f"{A} x=2 {B}"]),
+}
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return html.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(model, name):
+    source, want = LAYOUTS[name]
+    assert html.main_text(source, model).split("\n") == want
+
+
+def test_pages_in_proportion(model):
+    import time
+
+    began = time.process_time()
+    many = "".join(f"<p>{i} {A}</p>" for i in range(20_000))
+    assert html.main_text(f"<body><nav><ul>{MENU}</ul></nav><article>{many}</article></body>", model).count("\n") == 19_999
+    assert time.process_time() - began < 8
+    began = time.process_time()
+    for bad in ("<a " * 330_000, '<a "' * 250_000, "<a '>" * 200_001, '<a "><b" ' * 100_000 + "'", "<li>" * 250_000, "<div>" * 200_000 + "x", "<option>" * 100_000, "<script>" * 100_000, "</x>" * 250_000, "<!--" * 250_000, "<!" * 400_000):
+        html.main_text(bad, model)
+    assert time.process_time() - began < 60
+    deep = "<div>" * 3000 + A + "</div>" * 3000 + f"<p>{B}</p>"
+    assert sorted(p for x in html.nodes(html.parse(deep)) for p in x.parts if isinstance(p, str)) == sorted([A, B])
+
+
+def test_only_long_pages_and_clashing_columns(spark, monkeypatch):
+    """Without pages under the bound the model is still fitted on the table's own."""
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    monkeypatch.setattr(html, "TRAIN_CHARS", 10)
+    made = html.extract(given.selectExpr("*", "1 AS text", "2 AS h", "3 AS rank")).collect()
+    assert [r.page_id for r in made if r.text != expected(next(x.html for x in given.collect() if x.page_id == r.page_id))] == []
+
+
 def test_unclosed_options_end():
     def seen(source):
         return sorted(p.strip() for x in html.nodes(html.parse(source)) for p in x.parts if isinstance(p, str) and p.strip())
