@@ -54,6 +54,29 @@ def attach(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit
     return left.withColumn(salt, F.floor(F.rand(7) * SALT).cast("int")).join(salted, [key, salt], how).drop(salt)
 
 
+#: Rows of one key that a task may always have.
+HOT_ROWS = 512
+
+
+def attach_hot(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Inner equi-join on ``key``, distinct in ``right``; few keys may hold most of ``left``, a written table.
+
+    A key of more than a thousandth of the rows of ``left``, so one of less than a thousand, is hot. Its row
+    of ``right`` is copied once for every such share that it has, and its rows of ``left`` are dealt to the
+    copies by a hash of ``spread_by``: below two thousand rows are copied, whatever they hold.
+    """
+    share = max(HOT_ROWS, left.count() // 1000)
+    copies, salt = "__copies", "__salt"
+    hot = left.groupBy(key).agg(F.ceil(F.count("*") / share).cast("int").alias(copies)).where(F.col(copies) > 1)
+    hot = materialize(hot, "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    number = F.coalesce(copies, F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread_by), number).cast("int")).drop(copies)
+    copied = right.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), number - 1))).drop(copies)
+    return dealt.join(copied, [key, salt]).drop(salt)
+
+
 def spread(column: str) -> Column:
     """A deterministic 64-bit hash, used to order or deal out rows."""
     return F.xxhash64(F.col(column))

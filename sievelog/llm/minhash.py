@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, frugal, materialize
+from .common import BROADCAST_ROWS, attach, attach_hot, frugal, materialize
 from .components import components
 from .words import SPACED, hashed_words, mix
 
@@ -146,10 +146,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _proposals(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the sketches don't rule out, with their agreement."""
+    """Pairs (a, b) of written ``pairs`` that the sketches don't rule out, with their agreement."""
     sketches = signed.select("doc_id", "sketch")
-    joined = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    joined = joined.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    # b may be the pivot of a large group of copies
+    joined = attach_hot(pairs, sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b", "a")
+    joined = joined.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(frugal(_close), "a long, b long, same long")
 
 
@@ -159,8 +160,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    joined = attach_hot(pairs.select("a", "b"), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", "a")
+    joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(frugal(_verify), "u long, v long")
 
 
@@ -285,9 +286,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     # each bucket of a band is named by its smallest member; counts combine before the shuffle
     buckets = materialize(banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    filed = materialize(banded.join(buckets, "band"), "filed")
+    filed = materialize(attach(banded, buckets, "band", "inner"), "filed")
     # first, every document against the smallest members of its buckets
-    stars = filed.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = materialize(filed.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "star-pairs")
     near = materialize(_proposals(stars, reps), "stars")
     first = materialize(_confirmed(near, docs), "links-1")
     roots = components(first)
@@ -297,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few = labelled.where(F.col("n") <= SMALL)
     apart = few.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(few.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb")), "band")
     apart = apart.where("a > b and ra <> rb").select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialize(_confirmed(materialize(_proposals(apart, reps), "apart"), docs), "links-2")
+    second = materialize(_confirmed(materialize(_proposals(materialize(apart, "apart-pairs"), reps), "apart"), docs), "links-2")
     # last, large buckets
     third = materialize(_links_in_blocks(labelled.where(F.col("n") > SMALL).select("band", "doc_id", "root"), reps, docs), "links-3")
     roots = components(first.unionByName(second).unionByName(third)).select(F.col("node").alias("rep"), "root")

@@ -456,3 +456,31 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     want = brute_near(rows)
     assert 1 < len({r[2] for r in want}) < 220
     assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == want
+
+
+def test_hot_keys_are_copied(spark, monkeypatch):
+    """The same rows as a plain join, and no task with most of a hot key's rows; the same components and groups."""
+    from sievelog.llm import common, components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    left = common.materialize(spark.range(3000).selectExpr("id AS a", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id % 100 END AS b"), "left")
+    right = spark.range(90).selectExpr("id AS b", "concat('t', id) AS t")
+    got = common.attach_hot(left, right, "b", "a").select("a", "b", "t")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "b").select("a", "b", "t").collect()))
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (400, 2))] + [(5, i) for i in range(1000, 1300)] + [(i, 2000 + i) for i in range(1000, 1040)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    frame_ = spark.createDataFrame(edges, "u long, v long")
+    want = {x: find(x) for x in root if find(x) != x}
+    assert {r.node: r.root for r in components.components(frame_).collect()} == want
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 10)
+    assert {r.node: r.root for r in components.components(frame_).collect()} == want
