@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import attach, materialize
 
@@ -86,14 +87,13 @@ def possible_repeats(hashed: DataFrame, bitmap: np.ndarray, bits: int) -> DataFr
     """Adds the column ``maybe``: every slot of h was hit more than once."""
     shared = hashed.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def test(h):
-        import pandas as pd
-
-        at = slots(h.to_numpy(np.int64), bits)
-        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = slots(batch.column("h").to_numpy(zero_copy_only=False), bits)
+            hit = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+            yield batch.append_column("maybe", pa.array(hit))
 
-    return hashed.withColumn("maybe", test("h"))
+    return hashed.mapInArrow(test, T.StructType([*hashed.schema.fields, T.StructField("maybe", T.BooleanType())]))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ from .words import ALNUM, Words, hashed_words
 WINDOW = 13
 #: Words of benchmark text that go to the tasks at once.
 BLOCK_WORDS = 2_000_000
-#: Words of documents in a shard; a longer document is a shard of its own.
-SHARD_WORDS = 1_200_000
+#: Words of documents in a shard, more if there are many probes, PROBE_WORDS for each; a longer document is a shard of its own.
+SHARD_WORDS, PROBE_WORDS = 300_000, 6
 ROW = "__row"
 FOUND = "doc_id long, n_words long, n_hit long, longest long, items array<string>, matches array<struct<item_id:string,item_at:long,doc_at:long,length:long>>"
 
@@ -223,8 +223,9 @@ def _judged(items: Items, keys: np.ndarray, counts: np.ndarray) -> list[pa.Array
     return [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(longest, pa.int64()), pa.array([sorted(set(x), key=_by_name) for x in lists], pa.list_(pa.string())), pa.array(matches, pa.list_(MATCH))]
 
 
-def _shards(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _shards(column: pa.Array, probes: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, number of words of each row) of about SHARD_WORDS words."""
+    most = max(SHARD_WORDS, PROBE_WORDS * probes)
     held: list[Words] = []
 
     def flush() -> tuple[int, np.ndarray, np.ndarray]:
@@ -232,7 +233,7 @@ def _shards(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         return held[0].lo, np.concatenate([w.key for w in held]), counts
 
     for words in hashed_words(column, ALNUM):
-        if held and sum(len(w.key) for w in held) + len(words.key) > SHARD_WORDS:
+        if held and sum(len(w.key) for w in held) + len(words.key) > most:
             yield flush()
             held = []
         held.append(words)
@@ -247,7 +248,7 @@ def matcher(shared, keyed: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, keys, counts in _shards(batch.column("text")):
+            for lo, keys, counts in _shards(batch.column("text"), len(shared.value.probe)):
                 carried = [batch.column(ROW).slice(lo, len(counts))] if keyed else []
                 yield pa.record_batch([batch.column("doc_id").slice(lo, len(counts)), *_judged(shared.value, keys, counts), *carried], names=names)
 

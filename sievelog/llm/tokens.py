@@ -36,7 +36,7 @@ CHUNK, OVERLAP = 1 << 15, 1 << 10
 HUGE = 1 << 16
 #: Words that a worker's memo holds at most, told apart by 64-bit hashes; the longest of them in bytes.
 MEMO, LONG = 1_200_000, 64
-_SLOTS = 1 << 22
+_SLOTS = 1 << 21
 LIMIT = 2048
 
 _encoders: dict[str, Encoder] = {}
