@@ -106,9 +106,22 @@ def fold_last_write(log: DataFrame, key: str, value: str, version: str) -> DataF
     return log.groupBy(key).agg(F.max_by(value, version).alias(value))
 
 
+def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys) that are not among ``others``; nulls equal nulls, as a fact has in two of its places."""
+    whole = F.struct(*keys)
+    return rows.select(keys).withColumn("__k", whole).join(others.select(whole.alias("__k")), "__k", "left_anti").drop("__k")
+
+
 def overlay(base: DataFrame, removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
     """Base without removed, with added, as a set."""
-    return base.select(keys).join(removed.select(keys), keys, "left_anti").unionByName(added.select(keys)).distinct()
+    return without(base, removed, keys).unionByName(added.select(keys)).distinct()
+
+
+def evictable(held: DataFrame, *needed: DataFrame) -> DataFrame:
+    """Facts of a cache that no live query's payload holds."""
+    for payload in needed:
+        held = without(held, payload, held.columns)
+    return held.distinct()
 
 
 def effective(facts: DataFrame, delta: DataFrame) -> DataFrame:

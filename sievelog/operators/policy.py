@@ -152,6 +152,14 @@ class Policy:
         masked = pairs.select(F.col("__actor_id").alias("actor"), "id", *shown)
         return masked.where(reduce(or_, [F.col(c).isNotNull() for c in raw.columns if c != "id"])) if reads else masked
 
+    def readable(self, entity: str, subjects: DataFrame, frames: Mapping[str, DataFrame], actor: dict[str, Any] | None) -> DataFrame:
+        """(id, field) for each field of ``subjects`` (id) that its own rule shows, whether or not it holds a value."""
+        policy, raw = self.entities[entity], subjects.join(frames[entity], "id", "left")
+        rows, context, _ = self.context(entity, raw, frames, actor)
+        rules = {f: policy.overrides.get(f, {}).get("read", policy.read) for f in self.schema.entities[entity]}
+        names = F.array_compact(F.array(*[F.when(granted(r, context), F.lit(f)) for f, r in rules.items()]))
+        return rows.select("id", F.explode(names).alias("field"))
+
     def can_see(self, entity: str, raw: DataFrame, frames: Mapping[str, DataFrame], actor: dict[str, Any] | None) -> DataFrame:
         """The ids that the entity's read rule shows."""
         rows, context, _ = self.context(entity, raw, frames, actor)

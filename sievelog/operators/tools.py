@@ -28,15 +28,19 @@ FIXED: dict[str, dict[str, Field]] = {
 
 _STAFF = {"in": ["actor.role", [{"literal": "admin"}, {"literal": "member"}]]}
 
+_SELF = {"equals": ["subject", "actor"]}
+
 
 def _audience(path: str) -> dict[str, Any]:
-    """Members, invited people, anyone if public; admins always. ``path`` leads to the app."""
+    """Admins always; others as the app's audience says: members, the invited, or anyone. ``path`` leads to the app."""
     at = lambda f: f"fields.{path}{f}"
-    return {"anyOf": [_STAFF, {"equals": [at("audience"), {"literal": "public"}]}, {"allOf": [{"equals": [at("audience"), {"literal": "invited"}]}, {"in": ["actor.email", at("invited")]}]}]}
+    open_to = lambda who, rule: {"allOf": [{"equals": [at("audience"), {"literal": who}]}, rule]}
+    admin = {"equals": ["actor.role", {"literal": "admin"}]}
+    return {"anyOf": [admin, open_to("members", _STAFF), open_to("invited", {"in": ["actor.email", at("invited")]}), open_to("public", True)]}
 
 
 FIXED_RULES: dict[str, Any] = {
-    "user": {"read": {"anyOf": [_STAFF, {"equals": ["subject", "actor"]}]}, "update": {"equals": ["subject", "actor"]}, "fields": {"role": {"write": False}}},
+    "user": {"read": {"anyOf": [_STAFF, _SELF]}, "create": _SELF, "update": _SELF, "delete": _SELF, "fields": {"role": {"write": False}}},
     "app": {"read": _audience(""), "create": _STAFF, "update": _STAFF, "delete": _STAFF},
     "release": {"read": _audience("app."), "create": _STAFF, "update": False, "delete": _STAFF},
     "draftFile": {"read": _STAFF, "create": _STAFF, "update": _STAFF, "delete": _STAFF},
@@ -57,7 +61,7 @@ class Tools:
         self.engine, self.actor = engine, actor
 
     def call(self, name: str, arguments: dict[str, Any] | None = None) -> Any:
-        if name.startswith("_") or name == "call" or not hasattr(self, name):
+        if name.startswith("_") or name == "call" or not callable(getattr(type(self), name, None)):
             raise Rejected(f"unknown tool {name}")
         return getattr(self, name)(**(arguments or {}))
 
@@ -101,7 +105,12 @@ class Tools:
 
     def create_app(self, name: str, audience: str = "members") -> str:
         app = new_id("app")
-        self.engine.transact([Operation("set", app, "name", name), Operation("set", app, "audience", audience)], self.actor)
+        ops = [Operation("set", app, "name", name), Operation("set", app, "audience", audience)]
+        own = self.engine.actor_record(self.actor, self.engine.store.facts()).get("email")
+        if audience == "invited" and own:
+            # who makes an app for invited people is the first of them
+            ops.append(Operation("add", app, "invited", own))
+        self.engine.transact(ops, self.actor)
         return app
 
     def _rows(self, entity: str, **where: Any) -> list:
@@ -116,11 +125,13 @@ class Tools:
 
     def read_file(self, app: str, path: str = "index.html", channel: str = "live") -> tuple[str, str] | None:
         """(content, media type) of a file; the index stands in for paths that don't exist."""
+        wanted = [path, "index.html"]
         if channel == "draft":
-            files = self._rows("draftFile", app=app)
+            files = self._rows("draftFile", app=app, path=wanted)
         else:
-            live = next((r.live for r in self._rows("app") if r.id == app), None)
-            files = self._rows("releaseFile", release=live["id"]) if live else []
+            rows = self._planner().run(Query.of(self.engine.schema, "app").where_id(app).select({"live": True})).collect()
+            live = rows[0].live if rows else None
+            files = self._rows("releaseFile", release=live["id"], path=wanted) if live else []
         by = {f.path: f.content for f in files}
         found = path if path in by else "index.html"
         return (by[found], content_type(found)) if found in by else None

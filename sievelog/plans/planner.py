@@ -94,6 +94,19 @@ def _plain(constraints: tuple[Constraint, ...], schema: Schema, entity: str) ->
     return out
 
 
+def _keys(constraints: tuple[Constraint, ...], schema: Schema, entity: str) -> dict[str, list[str]]:
+    """Ids that the subject or its single references must be among, for sources that store them in other forms."""
+    out: dict[str, list[str]] = {}
+    for c in constraints:
+        if c.kind == "id":
+            out["id"] = [c.value]
+        elif c.kind in ("eq", "in") and (field := schema.field(entity, c.field)).kind == "ref" and not field.is_multiple:
+            values = c.value if c.kind == "in" else (c.value,)
+            if all(isinstance(v, str) for v in values):
+                out[c.field] = list(values)
+    return out
+
+
 def order_columns(order: tuple[str, bool] | None, prefix: str = "") -> list[Column]:
     """The total order: missing values last both ways, ids break ties."""
     if not order:
@@ -113,6 +126,9 @@ def past(order: tuple[str, bool] | None, value: Any, subject: str) -> Column:
     ahead = col < F.lit(value) if order[1] else col > F.lit(value)
     return ahead | ((col == F.lit(value)) & later) | col.isNull()
 
+#: Rows that a subquery may have which is the same for every parent.
+ALONE = 10_000
+
 
 class Planner:
     """Plans queries over raw wide frames by entity, masked for ``actor`` where a policy is given."""
@@ -127,6 +143,8 @@ class Planner:
     def _rooted(self, query: Query, constraints: tuple[Constraint, ...]) -> DataFrame:
         """Masked rows that are instances, pass the constraints and hold what is read of them."""
         raw = self.frames[query.entity]
+        if hasattr(self.frames, "seek"):
+            raw = self.frames.seek(query.entity, _keys(constraints, self.schema, query.entity))
         pushed = _plain(constraints, self.schema, query.entity)
         rows = self.masked(query.entity, raw.where(reduce(and_, pushed)) if pushed else raw)
         fields = self.schema.entities[query.entity]
@@ -237,6 +255,8 @@ class Planner:
         children = self._children(query, handle)
         if children is None:
             alone = self.run(query)
+            if (query.take is None or query.take > ALONE) and alone.select("id").limit(ALONE + 1).count() > ALONE:
+                raise QueryError(f"{key} does not name its parent and has over {ALONE} rows; give it a limit")
             one = alone.agg(F.collect_list(F.struct(*alone.columns)).alias(f"__{key}"))
             # one row: the uncorrelated answer, attached to every parent
             return rows.crossJoin(F.broadcast(one))

@@ -381,10 +381,10 @@ def _sent_to(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
     return sent(Policy(SCHEMA, rules), SCHEMA, "order", before, after, readers, changed_rows(spark, sf_dir)).select("actor", "subject").distinct()
 
 
-# Operators without a SQL form.
+# Live reads, pending writes and their checks.
 
 
-@registered()
+@registered("SELECT 'order/'||p predicate, count(*) n, p<>'priority' runs FROM orders, (VALUES ('customer'),('status'),('total'),('priority')) t(p) GROUP BY p UNION ALL SELECT 'user/tag', count(*), false FROM events")
 def live_rerun_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each predicate of the log's users and of orders: whether a live query on orders runs again."""
     watched = sorted(q("order").where("status", "F").order_by("total").select({"customer": {"name": True}}).predicates)
@@ -393,7 +393,10 @@ def live_rerun_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touched.select("predicate", "n", F.arrays_overlap(F.array("predicate"), F.array(*[F.lit(p) for p in watched])).alias("runs"))
 
 
-@registered()
+_TAGS = "SELECT 'user_'||user_id id, event_type tag FROM events GROUP BY 1,2 HAVING arg_max(event_id%7<>0, event_id)"
+
+
+@registered(f"WITH t AS ({_TAGS}) SELECT * FROM t UNION SELECT DISTINCT id, 'seen' FROM t WHERE id NOT IN (SELECT id FROM t WHERE tag='signup')")
 def optimistic_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed tags of users under two pending layers: one adds "seen" for all, one takes it back for signups."""
     from sievelog.streaming.live import optimistic
@@ -404,19 +407,21 @@ def optimistic_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimistic(tags, [one, two], ["id", "tag"])
 
 
-@registered()
+@registered(
+    "WITH f AS (SELECT 'user_'||user_id subject, event_type \"value\", arg_max(event_id%7<>0, event_id) now, bool_or(event_id%7<>0) AND substr(md5('user_'||user_id),1,1)<'8' was FROM events GROUP BY user_id, event_type) SELECT CASE WHEN now THEN '+' ELSE '-' END op, subject, \"value\" FROM f WHERE now<>was"
+)
 def outbox_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as queued operations, replayed in order over the tags of even users."""
+    """Events as queued operations, replayed in order over the tags that half of the users hold."""
     from sievelog.operators.writes import compile_bulk
 
     log = event_log(spark, sf_dir)
     fact = ["subject", "predicate", "tag", "s", "n", "b"]
     queued = log.select(F.col("version").alias("seq"), F.when(F.col("op") == "+", "add").otherwise("remove").alias("kind"), *fact)
-    held = log.where("op = '+'").select(*fact).distinct().where(F.pmod(F.xxhash64("subject"), F.lit(2)) == 0)
+    held = log.where("op = '+'").select(*fact).distinct().where(F.substring(F.md5("subject"), 1, 1) < "8")
     return compile_bulk(queued, held).select("op", "subject", F.col("s").alias("value"))
 
 
-@registered()
+@registered("SELECT 'order_'||o_orderkey id, 'update' verb, 'status' field, o_custkey=7 ok FROM orders WHERE o_orderstatus='P'")
 def write_check_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer 7 sets every P order to F: allowed on its own orders, and only as an update."""
     rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities}
@@ -428,7 +433,7 @@ def write_check_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Policy(SCHEMA, rules).write_verdicts("order", before, after, before.select("id").limit(0), touched, tables, tables, {"id": "customer_7"})
 
 
-@registered()
+@registered(f"SELECT *, '{SCHEMA.generation}' generation FROM (SELECT 'customer' entity, count(*) n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'order', count(*) FROM orders)")
 def schema_generation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each entity with the generation that a reader must know."""
     return entity_counts(spark, sf_dir).withColumn("generation", F.lit(SCHEMA.generation))
@@ -445,3 +450,191 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.repartition(3, "version").write.parquet(path)
     stream = log_stream(spark, path, "id string, last_type string, version long")
     return fold_stream(stream, scratch_path(spark, "stream-state"), scratch_path(spark, "stream-offsets"), "id", "last_type", "version").select("id", "last_type")
+
+
+# Shapes of selections.
+
+simple("after_cursor_desc", q("order").order_by("total", "desc").after(100000.0, "order_5").limit(50).select({"total": True}), f"SELECT {ORDER}, o_totalprice total FROM orders WHERE o_totalprice<100000 OR (o_totalprice=100000 AND 'order_'||o_orderkey>'order_5') ORDER BY o_totalprice DESC, id LIMIT 50")
+simple("id_in_selection", q("nation").select({"id": True, "name": True}), "SELECT 'nation_'||n_nationkey id, n_name name FROM nation")
+
+
+@registered("SELECT 'part_'||p_partkey id, p_name words FROM part")
+def select_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of several values is an array."""
+    return plan(spark, sf_dir).run(q("part").select({"word": True})).select("id", F.array_join("word", " ").alias("words"))
+
+
+@registered("SELECT id, part_id, brand, row_number() OVER (PARTITION BY id ORDER BY part_id)::INTEGER place FROM (SELECT DISTINCT 'supplier_'||l_suppkey id, 'part_'||l_partkey part_id, p_brand brand FROM lineitem JOIN part ON l_partkey=p_partkey)")
+def nested_multi_ref_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Followed references in one array for each row, in the order of their ids."""
+    rows = plan(spark, sf_dir).run(q("supplier").select({"part": {"brand": True}})).select("id", F.posexplode("part").alias("place", "p"))
+    return rows.select("id", F.col("p.id").alias("part_id"), F.col("p.brand").alias("brand"), (F.col("place") + 1).alias("place"))
+
+
+@registered("SELECT 'customer_'||o_custkey id, 'order_'||o_orderkey order_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'order_'||o_orderkey))::INTEGER place FROM orders")
+def nested_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of rows inside a parent's array."""
+    query = q("customer").select(lambda row: {"orders": q("order").where("customer", row).order_by("total", "desc")})
+    rows = plan(spark, sf_dir).run(query).select("id", F.posexplode("orders").alias("place", "o"))
+    return rows.select("id", F.col("o.id").alias("order_id"), (F.col("place") + 1).alias("place"))
+
+
+@registered("SELECT 'nation_'||n_nationkey id, 'customer_'||c_custkey customer_id, (row_number() OVER (PARTITION BY n_nationkey ORDER BY 'customer_'||c_custkey))::INTEGER place FROM nation JOIN customer ON c_nationkey=n_nationkey")
+def nested_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an order, the rows inside an array go by id."""
+    query = q("nation").select(lambda row: {"customers": q("customer").where("nation", row)})
+    rows = plan(spark, sf_dir).run(query).select("id", F.posexplode("customers").alias("place", "c"))
+    return rows.select("id", F.col("c.id").alias("customer_id"), (F.col("place") + 1).alias("place"))
+
+
+@registered(f"SELECT {ORDER}, o_totalprice total FROM orders WHERE o_orderstatus<>'P'")
+def whole_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that lack a required field which is read are no answers: here the P orders have lost their total."""
+    orders = Tables(spark, sf_dir)["order"].withColumn("total", F.when(F.col("status") != "P", F.col("total")))
+    return Planner(SCHEMA, {"order": orders}).run(q("order").select({"total": True}))
+
+
+@registered("SELECT 'customer_'||c_custkey id, c_name name, 'nation_'||c_nationkey nation, c_acctbal balance, c_mktsegment segment FROM customer WHERE c_mktsegment='BUILDING'")
+def query_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query given as plain data; without a selection every field is selected."""
+    from sievelog.plans.query import from_data
+
+    rows = plan(spark, sf_dir).run(from_data(SCHEMA, {"entity": "customer", "where": {"segment": "BUILDING"}}))
+    return rows.withColumn("nation", F.col("nation.id"))
+
+
+# Facts in the log's form.
+
+
+@registered("SELECT 'order_'||o_orderkey subject, CASE o_orderstatus WHEN 'P' THEN 'F' ELSE o_orderstatus END \"value\" FROM orders")
+def overlay_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status facts with P replaced by F; a fact holds nulls in the places of other kinds."""
+    from sievelog.functions.values import FACT
+
+    orders = Tables(spark, sf_dir)["order"]
+    facts = ops.unpivot(SCHEMA, "order", orders, ["status"])
+    added = ops.unpivot(SCHEMA, "order", orders.where("status = 'P'").withColumn("status", F.lit("F")), ["status"])
+    return ops.overlay(facts, facts.where("s = 'P'"), added, FACT).select("subject", F.col("s").alias("value"))
+
+
+@registered("SELECT 'order_'||o_orderkey id, 'customer_'||o_custkey customer, o_orderstatus status, o_totalprice total, o_orderpriority priority FROM orders")
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts of orders, and the rows that they make again."""
+    return ops.widen(SCHEMA, "order", ops.unpivot(SCHEMA, "order", Tables(spark, sf_dir)["order"]))
+
+
+@registered("SELECT 'order/'||unnest(['customer','status','total','priority']) predicate FROM orders WHERE o_orderkey=42")
+def match_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.match(ops.unpivot(SCHEMA, "order", Tables(spark, sf_dir)["order"]), subject="order_42").select("predicate")
+
+
+@registered("SELECT 'order_'||o_orderkey subject, o_totalprice n FROM orders WHERE o_totalprice>100000 OR (o_totalprice=100000 AND 'order_'||o_orderkey>'order_5') ORDER BY o_totalprice, subject LIMIT 25")
+def top_subjects_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = ops.unpivot(SCHEMA, "order", Tables(spark, sf_dir)["order"], ["total"])
+    return ops.top_subjects(facts, None, "order/total", 25, after=(100000.0, "order_5")).select("subject", "n")
+
+
+@registered("SELECT 'order_'||o_orderkey subject, unnest(['order/status','order/total']) predicate FROM orders WHERE o_orderstatus='O'")
+def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of F and O orders may drop once only the F orders are watched."""
+    planner = plan(spark, sf_dir)
+    payload = lambda *status: planner.payload_facts(q("order").where("status", status).select({"total": True}))
+    return ops.evictable(payload("F", "O"), payload("F")).select("subject", "predicate")
+
+
+def _committed(spark: SparkSession, sf_dir: str):
+    """A workspace whose first version has every order's status and total and whose second turns P into F."""
+    from sievelog.operators.policy import Policy as Rules
+    from sievelog.operators.writes import Engine
+    from sievelog.sources.scratch import scratch_path
+    from sievelog.sources.warehouse import Warehouse
+
+    rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities}
+    engine = Engine(Warehouse(spark, scratch_path(spark, "workspace")), SCHEMA, Rules(SCHEMA, rules))
+    orders = Tables(spark, sf_dir)["order"]
+    facts = lambda rows, op, names: ops.unpivot(SCHEMA, "order", rows, names).withColumn("op", F.lit(op))
+    engine.commit(facts(orders, "+", ["status", "total"]), "user_1")
+    old = orders.where("status = 'P'")
+    engine.commit(facts(old, "-", ["status"]).unionByName(facts(old.withColumn("status", F.lit("F")), "+", ["status"])), "user_2")
+    return engine
+
+
+@registered("SELECT 2::BIGINT \"version\", unnest(['-','+']) op, 'order_'||o_orderkey subject, unnest(['P','F']) \"value\", 'user_2' actor FROM orders WHERE o_orderstatus='P'")
+def log_entries_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes after version 1 of a workspace on storage."""
+    return _committed(spark, sf_dir).store.entries_since(1).select("version", "op", "subject", F.col("s").alias("value"), "actor")
+
+
+@registered("SELECT 'order_'||o_orderkey id, CASE o_orderstatus WHEN 'P' THEN 'F' ELSE o_orderstatus END status, o_totalprice total FROM orders")
+def state_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a workspace whose log is folded into its base."""
+    store = _committed(spark, sf_dir).store
+    store.compact(2)
+    return ops.widen(SCHEMA, "order", store.facts()).select("id", "status", "total")
+
+
+@registered("SELECT 'order_'||o_orderkey id, o_orderstatus status, o_totalprice total FROM orders")
+def state_at_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.widen(SCHEMA, "order", _committed(spark, sf_dir).store.facts(1)).select("id", "status", "total")
+
+
+def _own_total() -> Policy:
+    """Customers see all orders, but totals only of their own."""
+    rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities}
+    rules["order"] = EntityPolicy(read=anyone, overrides={"total": {"read": lambda c: c["customer"] == c.actor("id")}})
+    return Policy(SCHEMA, rules)
+
+
+@registered("SELECT 'order_'||o_orderkey subject, 'order/status' predicate FROM orders WHERE o_orderstatus='P' UNION ALL SELECT 'order_'||o_orderkey, 'order/total' FROM orders WHERE o_orderstatus='P' AND o_custkey=7")
+def backlog_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of status and total of the P orders, as customer 7 gets them after an absence: by field."""
+    from sievelog.streaming.live import readable_entries
+
+    tables = Tables(spark, sf_dir)
+    entries = ops.unpivot(SCHEMA, "order", tables["order"].where("status = 'P'"), ["status", "total"])
+    frames = {e: tables[e] if e == "order" else spark.createDataFrame([], SCHEMA.struct_type(e)) for e in SCHEMA.entities}
+    return readable_entries(_own_total(), SCHEMA, entries, frames, {"id": "customer_7"}).select("subject", "predicate")
+
+
+@registered("SELECT 'customer_'||c_custkey id FROM customer WHERE c_nationkey=3 UNION ALL SELECT 'order_'||o_orderkey FROM orders JOIN customer ON o_custkey=c_custkey WHERE c_nationkey=3")
+def repair_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader must check again when the customers of a nation have changed it while it was away."""
+    from sievelog.streaming.live import held_subjects
+
+    tables = Tables(spark, sf_dir)
+    entries = ops.unpivot(SCHEMA, "customer", tables["customer"].where("nation = 'nation_3'"), ["nation"])
+    return held_subjects(order_policy(), entries, tables, tables)
+
+
+@registered("SELECT 'order_'||o_orderkey id, 'create' verb, o_custkey=7 ok FROM orders WHERE o_orderstatus='P' UNION ALL SELECT 'order_'||o_orderkey, 'delete', o_orderpriority='5-LOW' FROM orders WHERE o_orderstatus='F'")
+def write_check_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P orders are created, judged by what they become; F orders deleted, judged by what they were."""
+    rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities}
+    rules["order"] = EntityPolicy(read=anyone, create=lambda c: c["customer"] == c.actor("id"), delete=lambda c: c["priority"] == "5-LOW")
+    tables = Tables(spark, sf_dir)
+    every = tables["order"]
+    before, after = every.where("status <> 'P'"), every.where("status <> 'F'")
+    touched = every.where("status <> 'O'").select("id", F.lit("total").alias("field"))
+    gone = every.where("status = 'F'").select("id")
+    verdicts = Policy(SCHEMA, rules).write_verdicts("order", before, after, gone, touched, tables, tables, {"id": "customer_7"})
+    return verdicts.select("id", "verb", "ok")
+
+
+@registered("SELECT DISTINCT 'supplier_'||l_suppkey id FROM lineitem JOIN part ON l_partkey=p_partkey WHERE p_brand='Brand#11'")
+def policy_path_through_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that reads a field of every row that a list refers to."""
+    rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities}
+    rules["supplier"] = EntityPolicy(read=lambda c: F.array_contains(c["part.brand"], "Brand#11"), fields=("part.brand",))
+    return plan(spark, sf_dir, Policy(SCHEMA, rules), {"id": "user_0"}).run(q("supplier"))
+
+
+@registered("SELECT user_id, event_type payload FROM events WHERE event_type='signup' OR 'order_'||event_id IN (SELECT 'order_'||o_orderkey FROM orders WHERE o_custkey=7)")
+def broadcast_to_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unlogged messages: signups are about nothing, others about the order of the event's number, which only its customer sees."""
+    from sievelog.streaming.live import broadcast_visible
+
+    tables = Tables(spark, sf_dir)
+    about = F.when(F.col("event_type") != "signup", F.concat(F.lit("order_"), F.col("event_id").cast("string")))
+    messages = tables.read("events").select(about.alias("about"), F.col("event_type").alias("payload"), "user_id")
+    seen = order_policy(neighbours=False).can_see("order", tables["order"], tables, {"id": "customer_7"})
+    return broadcast_visible(messages, seen).select("user_id", "payload")

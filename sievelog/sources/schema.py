@@ -255,6 +255,6 @@ def migration_problems(before: Schema, after: Schema, has_rows: Callable[[str],
                 out.append(f"{entity}/{name}: its type changed")
             elif was.is_multiple != field.is_multiple:
                 out.append(f"{entity}/{name}: its cardinality changed")
-            elif was.is_optional and field.is_required and has_rows(entity):
-                out.append(f"{entity}/{name}: optional became required on an entity with rows")
+            elif was.is_optional and field.is_required:
+                out.append(f"{entity}/{name}: optional became required")
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,35 @@ def _id(entity: str, column: str):
     return F.concat(F.lit(f"{entity}_"), F.col(column).cast("string"))
 
 
-def entity_frame(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
-    """The wide DataFrame of an entity: id and its fields, with the source's types."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Where ids and references come from: entity and field to the table, its key column, and the entity that it numbers.
+KEYS = {
+    ("region", "id"): ("region", "r_regionkey", "region"), ("nation", "id"): ("nation", "n_nationkey", "nation"), ("nation", "region"): ("nation", "n_regionkey", "region"),
+    ("customer", "id"): ("customer", "c_custkey", "customer"), ("customer", "nation"): ("customer", "c_nationkey", "nation"),
+    ("supplier", "id"): ("supplier", "s_suppkey", "supplier"), ("supplier", "nation"): ("supplier", "s_nationkey", "nation"), ("part", "id"): ("part", "p_partkey", "part"),
+    ("order", "id"): ("orders", "o_orderkey", "order"), ("order", "customer"): ("orders", "o_custkey", "customer"),
+    ("lineitem", "order"): ("lineitem", "l_orderkey", "order"), ("lineitem", "part"): ("lineitem", "l_partkey", "part"), ("lineitem", "supplier"): ("lineitem", "l_suppkey", "supplier"),
+    ("document", "id"): ("documents", "doc_id", "document"),
+}
+
+
+def _numbers(entity: str, ids: list[str]) -> list[int]:
+    """The keys of ids; one that is no number in plain form has none."""
+    rest = [i.removeprefix(f"{entity}_") for i in ids if i.startswith(f"{entity}_")]
+    return [int(r) for r in rest if re.fullmatch(r"0|-?[1-9][0-9]{0,17}", r)]
+
+
+def entity_frame(spark: SparkSession, sf_dir: str, entity: str, among: dict[str, list[str]] | None = None) -> DataFrame:
+    """The wide DataFrame of an entity: id and its fields, with the source's types; of rows whose ids or
+    references are ``among`` those given, read by the table's own keys."""
+    asked = {f: KEYS[entity, f] for f in among or {} if (entity, f) in KEYS}
+
+    def read(name: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        for field, (table, column, numbered) in asked.items():
+            if table == name:
+                rows = rows.where(F.col(column).isin(*_numbers(numbered, among[field])))
+        return rows
+
     if entity == "region":
         return read("region").select(_id("region", "r_regionkey").alias("id"), F.col("r_name").alias("name"))
     if entity == "nation":
@@ -64,5 +92,9 @@ class Tables:
             self._made[entity] = entity_frame(self.spark, self.sf_dir, entity)
         return self._made[entity]
 
+    def seek(self, entity: str, among: dict[str, list[str]]) -> DataFrame:
+        """The frame, or the part of it with ids or references among those given."""
+        return entity_frame(self.spark, self.sf_dir, entity, among) if among else self[entity]
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")

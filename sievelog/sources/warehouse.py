@@ -19,7 +19,7 @@ from sievelog.functions.values import FACT, FACTS
 from sievelog.operators.facts import effective, fold
 
 LOG = f"version long, seq int, op string, {FACTS}, actor string, at timestamp"
-_WORKSPACE = re.compile(r"[a-z0-9][a-z0-9-]{0,62}")
+_WORKSPACE = re.compile(r"[a-z0-9][a-z0-9-]{0,63}")
 
 
 class Conflict(RuntimeError):

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from enum import Enum
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelog.functions.values import FACT
-from sievelog.operators.facts import changed_rows, difference, unpivot
+from sievelog.functions.values import FACT, entity_column
+from sievelog.operators.facts import changed_rows, difference, unpivot, without
 from sievelog.operators.policy import Policy
 from sievelog.operators.writes import Engine, Operation, Rejected
 from sievelog.plans.query import Query
@@ -125,8 +126,7 @@ def optimistic(confirmed: DataFrame, layers: list[DataFrame], keys: list[str]) -
     if changes is None:
         return confirmed.select(keys).distinct()
     last = changes.groupBy(*keys).agg(F.max_by("op", F.struct("__at", F.col("op") == "+")).alias("op"))
-    kept = confirmed.select(keys).join(last.where("op = '-'"), keys, "left_anti")
-    return kept.unionByName(last.where("op = '+'").select(keys)).distinct()
+    return without(confirmed, last.where("op = '-'"), keys).unionByName(last.where("op = '+'").select(keys)).distinct()
 
 
 class Outbox:
@@ -165,14 +165,38 @@ def subscribe(engine: Engine, actor: str, since: int | None = None) -> Iterator[
     if entries is None:
         yield {"kind": "resync", "facts": {e: unpivot(engine.schema, e, planner.masked(e)) for e in engine.schema.entities}}
         return
-    ids = None
-    for frame in visible.values():
-        ids = frame if ids is None else ids.unionByName(frame)
-    # the backlog is filtered by what is readable now
-    shown = entries.join(ids.select(F.col("id").alias("subject")), "subject", "left_semi")
+    ids = reduce(DataFrame.unionByName, visible.values())
+    shown = readable_entries(engine.policy, engine.schema, entries, planner.frames, record)
     yield {"kind": "backlog", "entries": shown}
-    gone, fresh = repair(entries.select(F.col("subject").alias("id")).distinct(), ids)
-    yield {"kind": "repair", "evict": gone, "refresh": fresh}
+    earlier = engine.frames(engine.store.facts(since))
+    held = held_subjects(engine.policy, entries, earlier, planner.frames)
+    gone, fresh = repair(held, ids)
+    masked = {e: planner.masked(e) for e in engine.schema.entities}
+    facts = [unpivot(engine.schema, e, m.join(fresh, "id", "left_semi")) for e, m in masked.items()]
+    yield {"kind": "repair", "evict": gone, "refresh": reduce(DataFrame.unionByName, facts)}
+
+
+def readable_entries(policy: Policy | None, schema: Schema, entries: DataFrame, frames: Mapping[str, DataFrame], actor: dict[str, Any]) -> DataFrame:
+    """Log entries whose field the reader may read now, by its own rule; subjects that are gone count as empty."""
+    if policy is None:
+        return entries
+    pairs = []
+    for entity in schema.entities:
+        subjects = entries.where(entity_column(F.col("subject")) == entity).select(F.col("subject").alias("id")).distinct()
+        may = policy.readable(entity, subjects, frames, actor)
+        pairs.append(may.select(F.col("id").alias("subject"), F.concat(F.lit(f"{entity}/"), F.col("field")).alias("predicate")))
+    return entries.join(reduce(DataFrame.unionByName, pairs), ["subject", "predicate"], "left_semi")
+
+
+def held_subjects(policy: Policy | None, entries: DataFrame, before: Mapping[str, DataFrame], after: Mapping[str, DataFrame]) -> DataFrame:
+    """The subjects (id) of a backlog and those whose visibility may have changed through them, by the
+    references of the state before it and of the state after."""
+    out = entries.select(F.col("subject").alias("id"))
+    for predicate in policy.dependencies() if policy else ():
+        changed = entries.where(F.col("predicate") == predicate).select(F.col("subject").alias("id")).distinct()
+        for frames in (before, after):
+            out = out.unionByName(policy.affected(changed, predicate, frames).select("id"))
+    return out.distinct()
 
 
 class Presence:
