@@ -228,3 +228,93 @@ def test_patterns(spark):
     assert wide["todo_1"].tags == ["p", "q"] and wide["todo_2"].text is None
     top = ops.top_subjects(facts, None, "todo/text", 5)
     assert [r.subject for r in top.collect()] == ["todo_1"]
+
+
+def test_backlog_hides_fields(spark, tmp_path):
+    rule = EntityPolicy(read=anyone, create=anyone, update=anyone, delete=own, overrides={"done": {"read": own}})
+    engine = Engine(Warehouse(spark, f"file://{tmp_path}"), SCHEMA, Policy(SCHEMA, {"user": EntityPolicy(read=anyone), "todo": rule}))
+    fields = {"text": "x", "done": False, "owner": Ref("user_a")}
+    engine.commit([Operation("set", s, k, v) for s in ("todo_1", "todo_2") for k, v in fields.items()])
+    engine.commit([Operation("set", "todo_1", "done", True), Operation("set", "todo_1", "text", "y"), Operation("delete", "todo_2")])
+
+    def got(actor):
+        kinds = {m["kind"]: m for m in subscribe(engine, actor, since=1)}
+        entries = {(r.op, r.subject, r.predicate) for r in kinds["backlog"]["entries"].collect()}
+        fresh = {(r.subject, r.predicate) for r in kinds["repair"]["refresh"].collect()}
+        return entries, fresh, sorted(r.id for r in kinds["repair"]["evict"].collect())
+
+    entries, fresh, gone = got("user_b")
+    # of a subject that is gone, the fields that anyone may read are told
+    assert entries == {("-", "todo_1", "todo/text"), ("+", "todo_1", "todo/text"), ("-", "todo_2", "todo/text"), ("-", "todo_2", "todo/owner")}
+    assert fresh == {("todo_1", "todo/text"), ("todo_1", "todo/owner")} and gone == ["todo_2"]
+    entries, fresh, gone = got("user_a")
+    assert {p for _, s, p in entries if s == "todo_1"} == {"todo/text", "todo/done"} and ("todo_1", "todo/done") in fresh
+
+
+def test_repair_follows_references(spark, tmp_path):
+    """A reader that a team has dropped while away loses the team's todos, which the backlog doesn't name."""
+    schema = Schema({"user": {"name": string()}, "team": {"name": string(), "member": ref("user").multiple()}, "todo": {"text": string(), "team": ref("team")}})
+    member = lambda c: F.coalesce(F.array_contains(c["team.member"], c.actor("id")), F.lit(False))
+    policy = Policy(schema, {"user": EntityPolicy(read=anyone), "team": EntityPolicy(read=anyone), "todo": EntityPolicy(read=member, fields=("team.member",))})
+    engine = Engine(Warehouse(spark, f"file://{tmp_path}"), schema, policy)
+    engine.commit([Operation("set", "team_1", "name", "t"), Operation("add", "team_1", "member", Ref("user_a")), Operation("set", "todo_1", "text", "x"), Operation("set", "todo_1", "team", Ref("team_1"))])
+    engine.commit([Operation("remove", "team_1", "member", Ref("user_a")), Operation("add", "team_1", "member", Ref("user_b"))])
+    kinds = {a: {m["kind"]: m for m in subscribe(engine, a, since=1)} for a in ("user_a", "user_b")}
+    assert [r.id for r in kinds["user_a"]["repair"]["evict"].collect()] == ["todo_1"]
+    assert ("todo_1", "todo/text") in {(r.subject, r.predicate) for r in kinds["user_b"]["repair"]["refresh"].collect()}
+
+
+def test_facts_with_nulls_are_removed(spark):
+    facts = ops.unpivot(SCHEMA, "todo", todos(spark, ("todo_1", "x", True, None, ["p", "q"]))).cache()
+    tags = facts.where("predicate = 'todo/tags'")
+    gone, new = tags.where("s = 'p'"), tags.where("s = 'q'").withColumn("s", F.lit("r"))
+    assert sorted(r.s for r in ops.overlay(tags, gone, new, tags.columns).collect()) == ["q", "r"]
+    layer = gone.withColumn("op", F.lit("-")).unionByName(new.withColumn("op", F.lit("+")))
+    assert sorted(r.s for r in optimistic(tags, [layer], tags.columns).collect()) == ["q", "r"]
+    assert sorted(str(r.s) for r in ops.evictable(facts, tags, facts.where("b")).collect()) == ["x"]
+
+
+def test_apps_open_to_their_audience(spark, tmp_path):
+    schema, policy = build_workspace({}, {})
+    engine = Engine(Warehouse(spark, f"file://{tmp_path}"), schema, policy)
+    people = {"user_m": "member", "user_n": "member", "user_i": "appUser", "user_r": "admin"}
+    engine.commit([Operation("set", u, k, v) for u, role in people.items() for k, v in (("name", u), ("role", role), ("email", f"{u}@x.org"))])
+    staff = Tools(engine, "user_m")
+    app = staff.call("create_app", {"name": "Board", "audience": "invited"})
+    see = lambda: {u for u in people if Tools(engine, u).call("list_apps").count()}
+    assert see() == {"user_m", "user_r"}
+    staff.call("set_audience", {"app": app, "audience": "members"})
+    assert see() == {"user_m", "user_n", "user_r"}
+    for name in ("engine", "actor", "_rows", "call", "nothing"):
+        with pytest.raises(Rejected):
+            staff.call(name)
+    engine.transact([Operation("set", "user_i", "name", "Ida")], "user_i")
+    engine.transact([Operation("delete", "user_i")], "user_i")
+    with pytest.raises(Rejected):
+        engine.transact([Operation("delete", "user_n")], "user_m")
+
+
+def test_limits_of_names_and_changes():
+    from sievelog.sources.schema import migration_problems
+    from sievelog.sources.tables import _numbers
+    from sievelog.sources.warehouse import _WORKSPACE
+
+    assert _WORKSPACE.fullmatch("a" * 64) and not _WORKSPACE.fullmatch("a" * 65)
+    one, two = Schema({"a": {"x": string().optional(), "y": string()}}), Schema({"a": {"x": string(), "y": string()}})
+    assert migration_problems(one, two, lambda e: False) and not migration_problems(two, one, lambda e: True)
+    assert _numbers("order", ["order_42", "order_042", "order_x", "part_1", "order_-3", "order_"]) == [42, -3]
+
+
+def test_same_rows_for_every_parent_need_a_limit(spark, monkeypatch):
+    from sievelog.plans import planner
+    from sievelog.plans.query import QueryError
+
+    frames = {"todo": todos(spark, *[(f"todo_{i}", "x", True, "user_a", None) for i in range(9)]), "user": spark.createDataFrame([("user_a", "A")], "id string, name string")}
+    made = planner.Planner(SCHEMA, frames)
+    every = lambda n: Query.of(SCHEMA, "user").select({"todos": Query.of(SCHEMA, "todo").limit(n) if n else Query.of(SCHEMA, "todo")})
+    monkeypatch.setattr(planner, "ALONE", 8)
+    with pytest.raises(QueryError):
+        made.run(every(None))
+    assert len(made.run(every(8)).first().todos) == 8
+    monkeypatch.setattr(planner, "ALONE", 9)
+    assert len(made.run(every(None)).first().todos) == 9
