@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a fresh local one where none is configured (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_sievelog_scratch", None)
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not base:
         base = sc._sievelog_scratch = "file://" + tempfile.mkdtemp(prefix="sievelog-")
     return base.rstrip("/")
