@@ -69,6 +69,20 @@ def granted(rule: Rule, context: Context) -> Column:
     return F.coalesce(rule(context), F.lit(False))
 
 
+def any_of(*rules: Rule) -> Rule:
+    """A rule that grants what any of ``rules`` grants, and keeps them apart for joins."""
+
+    def rule(c: Context) -> Column:
+        return reduce(or_, [r(c) for r in rules])
+
+    rule.alternatives = tuple(a for r in rules for a in alternatives(r))
+    return rule
+
+
+def alternatives(rule: Rule) -> tuple[Rule, ...]:
+    return getattr(rule, "alternatives", (rule,))
+
+
 class Policy:
     def __init__(self, schema: Schema, entities: Mapping[str, EntityPolicy]):
         if missing := set(schema.entities) - set(entities):
@@ -137,15 +151,18 @@ class Policy:
     def mask_each(self, entity: str, raw: DataFrame, frames: Mapping[str, DataFrame], actors: DataFrame) -> DataFrame:
         """``mask`` for every reader of ``actors`` (id and what rules read of them): (actor, row) pairs.
 
-        The read rules are the join condition, so that a rule which equates a field with one of the
-        reader's is an equi-join, and only pairs that grant something come out.
+        Each alternative of the read rules is the condition of a join of its own, so that one which
+        equates a field with one of the reader's is an equi-join, and only pairs that grant something
+        come out, once each.
         """
         who = actors.dropDuplicates(["id"]).select(*[F.col(c).alias(f"__actor_{c}") for c in actors.columns])
         rows, context, _ = self.context(entity, raw, frames, {c: F.col(f"__actor_{c}") for c in actors.columns})
         policy = self.entities[entity]
         reads = {f: o["read"] for f, o in policy.overrides.items() if "read" in o}
         base, shown = granted(policy.read, context), []
-        pairs = rows.join(who, reduce(or_, [r(context) for r in (policy.read, *reads.values())]))
+        ways = [rows.join(who, a(context)) for r in (policy.read, *reads.values()) for a in alternatives(r)]
+        pairs = reduce(DataFrame.unionByName, ways)
+        pairs = pairs.dropDuplicates(["__actor_id", "id"]) if len(ways) > 1 else pairs
         for name in raw.columns:
             if name != "id":
                 shown.append(F.when(granted(reads[name], context) if name in reads else base, F.col(name)).alias(name))
@@ -253,6 +270,17 @@ def _operand(value: Any, where: str) -> Callable[[Context], Column]:
 
 def compile_rule(rule: Any, where: str = "rule") -> Rule:
     """JSON to a rule. A missing value on either side of a comparison is false."""
+    bare = _bare(rule, where)
+
+    def whole(c: Context) -> Column:
+        return granted(bare, c)
+
+    whole.alternatives = alternatives(bare)
+    return whole
+
+
+def _bare(rule: Any, where: str) -> Rule:
+    """The rule as joins take it, its comparisons bare: null stands for false, and negations see to that."""
     if rule is True or rule is False:
         return anyone if rule else nobody
     if not isinstance(rule, dict) or len(rule) != 1:
@@ -262,24 +290,23 @@ def compile_rule(rule: Any, where: str = "rule") -> Rule:
         if not isinstance(body, list) or len(body) != 2:
             raise SchemaError(f"{where}.equals: two operands")
         a, b = (_operand(x, f"{where}.equals") for x in body)
-        return lambda c: F.coalesce(a(c) == b(c), F.lit(False))
+        return lambda c: a(c) == b(c)
     if op == "in":
         if not isinstance(body, list) or len(body) != 2:
             raise SchemaError(f"{where}.in: two operands")
         needle = _operand(body[0], f"{where}.in")
         if isinstance(body[1], list):
             items = [_operand(x, f"{where}.in") for x in body[1]]
-            return lambda c: reduce(or_, [F.coalesce(needle(c) == i(c), F.lit(False)) for i in items], F.lit(False))
+            return lambda c: reduce(or_, [needle(c) == i(c) for i in items], F.lit(False))
         hay = _operand(body[1], f"{where}.in")
-        return lambda c: F.coalesce(F.array_contains(hay(c), needle(c)), F.lit(False))
+        return lambda c: F.array_contains(hay(c), needle(c))
     if op in ("anyOf", "allOf"):
         if not isinstance(body, list) or not body:
             raise SchemaError(f"{where}.{op}: a list of rules")
-        parts = [compile_rule(x, f"{where}.{op}[{i}]") for i, x in enumerate(body)]
-        join = or_ if op == "anyOf" else and_
-        return lambda c: reduce(join, [granted(p, c) for p in parts])
+        parts = [_bare(x, f"{where}.{op}[{i}]") for i, x in enumerate(body)]
+        return any_of(*parts) if op == "anyOf" else lambda c: reduce(and_, [p(c) for p in parts])
     if op == "not":
-        inner = compile_rule(body, f"{where}.not")
+        inner = _bare(body, f"{where}.not")
         return lambda c: ~granted(inner, c)
     raise SchemaError(f"{where}: unknown operator {op}")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelog.functions.values import FACTS
 from sievelog.operators import facts as ops
-from sievelog.operators.policy import EntityPolicy, Policy, anyone, compile_policy
+from sievelog.operators.policy import EntityPolicy, Policy, any_of, anyone, compile_policy
 from sievelog.plans.planner import Planner
 from sievelog.plans.query import Query
 from sievelog.sources.tables import SCHEMA, Tables
@@ -167,10 +167,13 @@ def subquery_in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_policy(neighbours: bool = True) -> Policy:
     """Orders: one's own; with ``neighbours`` also open ones of customers of one's nation."""
 
-    def read(c):
-        own = c["customer"] == c.actor("id")
-        return own | ((c["status"] == "O") & (c["customer.nation"] == c.actor("nation"))) if neighbours else own
+    def own(c):
+        return c["customer"] == c.actor("id")
 
+    def nearby(c):
+        return (c["status"] == "O") & (c["customer.nation"] == c.actor("nation"))
+
+    read = any_of(own, nearby) if neighbours else own
     rest = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities}
     return Policy(SCHEMA, rest | {"order": EntityPolicy(read=read, fields=("customer.nation",))})
 
@@ -371,14 +374,24 @@ def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sent_to(spark, sf_dir, _events(spark, sf_dir).dropDuplicates(["user_id"]))
 
 
-def _sent_to(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
+@registered("SELECT DISTINCT 'user_'||user_id actor, 'order_'||o_orderkey subject FROM events JOIN (SELECT o_custkey k, o_orderkey FROM orders WHERE o_orderstatus='P' UNION SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderstatus='P') ON k=user_id")
+def fan_out_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same commit under a declared rule of two alternatives: one's customer's orders, and the order one watches."""
+    own, watched = ({"equals": ["fields.customer", "actor.customer"]}, {"equals": ["subject", "actor.watched"]})
+    declared = {e: {"read": True} for e in SCHEMA.entities} | {"order": {"read": {"anyOf": [own, watched]}}}
+    users = _events(spark, sf_dir).dropDuplicates(["user_id"])
+    return _sent_to(spark, sf_dir, users, compile_policy(SCHEMA, declared))
+
+
+def _sent_to(spark: SparkSession, sf_dir: str, users: DataFrame, policy: Policy | None = None) -> DataFrame:
     from sievelog.streaming.live import fan_out as sent
 
     before = {"order": Tables(spark, sf_dir)["order"]}
     after = {"order": before["order"].withColumn("status", F.when(F.col("status") == "P", "F").otherwise(F.col("status")))}
-    readers = users.select(F.col("user").alias("id"), F.concat(F.lit("customer_"), F.col("user_id").cast("string")).alias("customer"))
+    number = F.col("user_id").cast("string")
+    readers = users.select(F.col("user").alias("id"), F.concat(F.lit("customer_"), number).alias("customer"), F.concat(F.lit("order_"), number).alias("watched"))
     rules = {e: EntityPolicy(read=anyone) for e in SCHEMA.entities} | {"order": EntityPolicy(read=lambda c: c["customer"] == c.actor("customer"))}
-    return sent(Policy(SCHEMA, rules), SCHEMA, "order", before, after, readers, changed_rows(spark, sf_dir)).select("actor", "subject").distinct()
+    return sent(policy or Policy(SCHEMA, rules), SCHEMA, "order", before, after, readers, changed_rows(spark, sf_dir)).select("actor", "subject").distinct()
 
 
 # Live reads, pending writes and their checks.

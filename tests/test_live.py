@@ -51,6 +51,25 @@ def test_masks_for_each_reader_are_those_of_one(spark):
         assert sorted(tuple(r)[1:] for r in each if r.actor == actor) == sorted(map(tuple, one))
 
 
+def test_alternatives_are_joins_of_their_own(spark):
+    from sievelog.operators.policy import Context, any_of
+
+    rows = spark.createDataFrame([("todo_1", "user_a", "team_x"), ("todo_2", "user_b", None), ("todo_3", None, "team_x"), ("todo_4", None, None)], "id string, owner string, team string")
+    readers = spark.createDataFrame([("user_a", "team_x"), ("user_b", None), ("user_c", "team_x")], "id string, team string")
+    own, mates = {"equals": ["fields.owner", "actor"]}, {"equals": ["fields.team", "actor.team"]}
+    schema = Schema({"todo": {"owner": string().optional(), "team": string().optional()}})
+    declared = compile_rule({"anyOf": [own, {"anyOf": [mates, own]}]})
+    assert len(declared.alternatives) == 3
+    for rule in (declared, any_of(lambda c: c["owner"] == c.actor("id"), lambda c: c["team"] == c.actor("team"))):
+        policy = Policy(schema, {"todo": EntityPolicy(read=rule)})
+        pairs = policy.mask_each("todo", rows, {"todo": rows}, readers)
+        assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+        # todo_1 is granted by both ways, and comes once
+        assert sorted((r.actor, r.id) for r in pairs.collect()) == [("user_a", "todo_1"), ("user_a", "todo_3"), ("user_b", "todo_2"), ("user_c", "todo_1"), ("user_c", "todo_3")]
+        context = Context({c: F.col(c) for c in rows.columns}, {"id": "user_b", "team": None})
+        assert [r.id for r in rows.where(rule(context)).collect()] == ["todo_2"]
+
+
 def test_rules_as_data(spark):
     from sievelog.operators.policy import Context
 
