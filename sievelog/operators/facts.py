@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import partial
 from typing import Any
 
@@ -96,9 +97,15 @@ def top_subjects(facts: DataFrame, ids: DataFrame | None, predicate: str, take:
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """State of a log (version, seq, op, fact): facts whose last operation added them."""
-    last = F.max_by("op", F.struct("version", "seq"))
-    return log.groupBy(*FACT).agg(last.alias("op")).where("op = '+'").drop("op")
+    """State of a log (version, seq, op, fact): facts whose last operation added them.
+
+    Version and seq are one number, so that the aggregation's buffers are of fixed width and it hashes
+    instead of sorting its rows before and after the shuffle; null comes before any number.
+    """
+    version, seq = (F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).cast("decimal(19,0)") for c in ("version", "seq"))
+    place = version * F.lit(Decimal(10**19)) + seq
+    last = F.max_by(F.col("op") == "+", place)
+    return log.groupBy(*FACT).agg(last.alias("added")).where("added").drop("added")
 
 
 def fold_last_write(log: DataFrame, key: str, value: str, version: str) -> DataFrame:
@@ -125,15 +132,16 @@ def evictable(held: DataFrame, *needed: DataFrame) -> DataFrame:
 
 
 def effective(facts: DataFrame, delta: DataFrame) -> DataFrame:
-    """Changes (op, fact) that change anything: removals of what is there, additions of what is not; removals first."""
-    there = facts.select(fact_key().alias("k")).distinct()
-    gone = delta.where("op = '-'").withColumn("k", fact_key()).join(there, "k", "left_semi")
-    back = delta.where("op = '+'").withColumn("k", fact_key())
-    undone = gone.select("k").distinct()
-    new = back.join(there.join(undone, "k", "left_anti"), "k", "left_anti")
-    # what is removed and added again stays
-    again = gone.join(back.select("k").distinct(), "k", "left_anti")
-    return again.unionByName(new.join(undone, "k", "left_anti")).drop("k").distinct()
+    """Changes (op, fact) that change anything: removals of what is there, additions of what is not.
+
+    What is removed and added again stays. One aggregation marks each fact as held, removed and added.
+    """
+    no, added, removed = F.lit(False), F.col("op") == "+", F.col("op") == "-"
+    held = facts.select(*FACT, F.lit(True).alias("was"), no.alias("come"), no.alias("gone"))
+    rows = held.unionByName(delta.select(*FACT, no.alias("was"), added.alias("come"), removed.alias("gone")))
+    marked = rows.groupBy(*FACT).agg(*[F.max(c).alias(c) for c in ("was", "come", "gone")])
+    op = F.when(F.col("come") & ~F.col("was"), "+").when(F.col("gone") & F.col("was") & ~F.col("come"), "-")
+    return marked.withColumn("op", op).where("op IS NOT NULL").select("op", *FACT)
 
 
 def difference(before: DataFrame, after: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

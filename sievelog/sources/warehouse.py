@@ -68,10 +68,15 @@ class Warehouse:
         """Changes up to this version are only in the base snapshot."""
         return max([0, *(v for v in self._listed("base") if self._fs.exists(self._path(f"{self.root}/base/{v}/_SUCCESS")))])
 
-    def log(self, after: int = 0, upto: int | None = None) -> DataFrame:
-        paths = [f"{self.root}/log/{f}" for v, f in self._folders().items() if v > after and (upto is None or v <= upto)]
+    def _paths(self, after: int = 0, upto: int | None = None) -> list[str]:
+        return [f"{self.root}/log/{f}" for v, f in self._folders().items() if v > after and (upto is None or v <= upto)]
+
+    def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
+    def log(self, after: int = 0, upto: int | None = None) -> DataFrame:
+        return self._read(self._paths(after, upto))
+
     def entries_since(self, version: int) -> DataFrame | None:
         """Changes after a version; None if they are no longer all there."""
         return None if version < self.floor else self.log(version)
@@ -81,9 +86,14 @@ class Warehouse:
         floor = self.floor
         if version is not None and version < floor:
             raise ValueError("that version is no longer kept")
-        changes = self.log(floor, version).select("version", "seq", "op", *FACT)
+        paths = self._paths(floor, version)
+        base = self.spark.read.schema(FACTS).parquet(f"{self.root}/base/{floor}") if floor else None
+        # a snapshot holds each fact once, so alone it is the state
+        if floor and not paths:
+            return base
+        changes = self._read(paths).select("version", "seq", "op", *FACT)
         if floor:
-            base = self.spark.read.schema(FACTS).parquet(f"{self.root}/base/{floor}").select(F.lit(floor).cast("long").alias("version"), F.lit(0).alias("seq"), F.lit("+").alias("op"), *FACT)
+            base = base.select(F.lit(floor).cast("long").alias("version"), F.lit(0).alias("seq"), F.lit("+").alias("op"), *FACT)
             changes = base.unionByName(changes)
         return fold(changes)
 

@@ -1,8 +1,10 @@
 """Checked writes, the log and its fold, permissions on writes, on a small workspace."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from sievelog.functions.values import Ref, decode_number, decode_value, encode_number, encode_value
+from sievelog.functions.values import FACTS, Ref, decode_number, decode_value, encode_number, encode_value
+from sievelog.operators import facts as ops
 from sievelog.operators.policy import EntityPolicy, Policy, anyone
 from sievelog.operators.writes import Engine, Operation, Rejected
 from sievelog.plans.query import Query, QueryError
@@ -59,3 +61,34 @@ def test_encodings():
     assert all(decode_number(encode_number(x)) == x for x in numbers)
     for value in ("42", 42.0, True, Ref("user_1"), {"b": 1, "a": 2}):
         assert decode_value(encode_value(value)) == value
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_changes_and_folds_are_one_hash_aggregation(spark):
+    fact = lambda name, **slot: ("user_" + name, "user/name", "s", slot.get("s"), slot.get("n"), slot.get("b"))
+    facts = {k: fact(k, s=k) for k in "abcd"} | {"n": fact("n", n=0.0), "e": fact("e", b=False), "f": fact("f")}
+    held = spark.createDataFrame([facts[k] for k in "aabbne"], FACTS)
+    # removed; removed and added again; held already; new, twice; neither held nor added; held with nulls; new with nulls; of no operation
+    delta = [("-", "a"), ("-", "b"), ("+", "b"), ("+", "n"), ("+", "c"), ("+", "c"), ("-", "d"), ("-", "e"), ("+", "f"), (None, "a")]
+    changes = ops.effective(held, spark.createDataFrame([(op, *facts[k]) for op, k in delta], f"op string, {FACTS}"))
+    assert changes.columns == ["op", "subject", "predicate", "tag", "s", "n", "b"]
+    assert sorted((r.op, r.subject[5:]) for r in changes.collect()) == [("+", "c"), ("+", "f"), ("-", "a"), ("-", "e")]
+    log = [(1, 0, "+", "a"), (2, 0, "-", "a"), (1, 1, "+", "b"), (1, 0, "-", "b"), (2, 0, "+", "c"), (1, 5, "-", "c"), (2**62, -1, "-", "d"), (2**62, 2**31 - 1, "+", "d"), (2**62 - 1, 2**31 - 1, "-", "d")]
+    log += [(3, 1, "-", "n"), (3, 0, "+", "n"), (None, 9, "-", "f"), (0, None, "+", "f"), (1, 1, None, "e")]
+    state = ops.fold(spark.createDataFrame([(v, q, op, *facts[k]) for v, q, op, k in log], f"version long, seq int, op string, {FACTS}"))
+    assert sorted(r.subject[5:] for r in state.collect()) == ["b", "c", "d", "f"]
+    for df in (changes, state):
+        plan = plan_of(df)
+        assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_a_snapshot_alone_is_not_folded(spark, tmp_path):
+    store = Warehouse(spark, f"file://{tmp_path}")
+    rows = spark.range(5).select(F.lit("+").alias("op"), F.concat(F.lit("user_"), "id").alias("subject"), F.lit("user/name").alias("predicate"), F.lit("s").alias("tag"), F.lit("x").alias("s"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("boolean").alias("b"))
+    assert store.apply(rows) == 1 and store.apply(rows.where("subject = 'user_0'").withColumn("op", F.lit("-"))) == 2
+    store.compact(2)
+    assert "Exchange" not in plan_of(store.facts()) and store.facts().count() == 4
+    assert store.apply(rows) == 3 and store.facts().count() == 5 and store.facts(2).count() == 4
