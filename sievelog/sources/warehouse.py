@@ -88,10 +88,12 @@ class Warehouse:
             raise ValueError("that version is no longer kept")
         paths = self._paths(floor, version)
         base = self.spark.read.schema(FACTS).parquet(f"{self.root}/base/{floor}") if floor else None
-        # a snapshot holds each fact once, so alone it is the state
+        changes = self._read(paths).select("version", "seq", "op", *FACT)
+        # a snapshot holds each fact once, and so does a commit: alone, either is the state without a fold
         if floor and not paths:
             return base
-        changes = self._read(paths).select("version", "seq", "op", *FACT)
+        if not floor and len(paths) == 1:
+            return changes.where("op = '+'").select(*FACT)
         if floor:
             base = base.select(F.lit(floor).cast("long").alias("version"), F.lit(0).alias("seq"), F.lit("+").alias("op"), *FACT)
             changes = base.unionByName(changes)

@@ -85,10 +85,12 @@ def test_changes_and_folds_are_one_hash_aggregation(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" in plan and "Sort" not in plan
 
 
-def test_a_snapshot_alone_is_not_folded(spark, tmp_path):
+def test_a_snapshot_or_first_commit_alone_is_not_folded(spark, tmp_path):
     store = Warehouse(spark, f"file://{tmp_path}")
     rows = spark.range(5).select(F.lit("+").alias("op"), F.concat(F.lit("user_"), "id").alias("subject"), F.lit("user/name").alias("predicate"), F.lit("s").alias("tag"), F.lit("x").alias("s"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("boolean").alias("b"))
-    assert store.apply(rows) == 1 and store.apply(rows.where("subject = 'user_0'").withColumn("op", F.lit("-"))) == 2
+    assert store.apply(rows.unionByName(rows).unionByName(rows.withColumn("op", F.lit("-")))) == 1
+    assert "Exchange" not in plan_of(store.facts(1)) and store.facts(1).count() == 5
+    assert store.apply(rows.where("subject = 'user_0'").withColumn("op", F.lit("-"))) == 2
     store.compact(2)
     assert "Exchange" not in plan_of(store.facts()) and store.facts().count() == 4
     assert store.apply(rows) == 3 and store.facts().count() == 5 and store.facts(2).count() == 4
