@@ -94,3 +94,31 @@ def test_a_snapshot_or_first_commit_alone_is_not_folded(spark, tmp_path):
     store.compact(2)
     assert "Exchange" not in plan_of(store.facts()) and store.facts().count() == 4
     assert store.apply(rows) == 3 and store.facts().count() == 5 and store.facts(2).count() == 4
+
+
+def test_write_checks_join_each_state_once(spark):
+    """Verbs by what was there, rules on touched rows only, and few sorted sides in a task."""
+    schema = Schema({"item": {"n": string(), "field": string(), "up": ref("item")}})
+    rules = dict(create=lambda c: c["n"] == c.after("n"), update=lambda c: (c["n"].cast("int") > 0) & (c.after("n") == "9"), delete=lambda c: c["up.n"] == "1")
+    policy = Policy(schema, {"item": EntityPolicy(fields=("up.n",), overrides={"field": {"write": lambda c: c["field"] == "y"}}, **rules)})
+    row = "id string, n string, field string, up string"
+    before = spark.createDataFrame([("item_a", "1", "y", "item_a"), ("item_b", "0", "x", "item_b"), ("item_c", "2", "x", "item_a"), ("item_d", "bad", "x", None)], row)
+    after = spark.createDataFrame([("item_a", "9", "y", None), ("item_b", "9", "y", None), ("item_e", "5", "z", None), ("item_d", "bad", "x", None)], row)
+    gone = spark.createDataFrame([("item_c",), ("item_c",), ("item_x",)], "id string")
+    touched = spark.createDataFrame([("item_a", "n"), ("item_a", "field"), ("item_b", "n"), ("item_b", "field"), ("item_c", "n"), ("item_e", "n"), ("item_e", "field"), ("item_f", "n"), ("item_x", "n"), (None, "n")], "id string, field string")
+    want = {("a", "update", "n", True), ("a", "update", "field", True), ("b", "update", "n", False), ("b", "update", "field", False), ("c", "delete", "n", True)}
+    want |= {("e", "create", "n", True), ("e", "create", "field", False), ("f", "create", "n", False), ("x", "delete", "n", False), ("", "create", "n", False)}
+
+    def verdicts(policy):
+        frames, later = {"item": before}, {"item": after}
+        return policy.write_verdicts("item", before, after, gone, touched, frames, later, {"id": "user_a"})
+
+    got = verdicts(policy)
+    assert got.columns == ["id", "verb", "field", "ok"]
+    assert sorted(((r.id or "")[5:], r.verb, r.field, r.ok) for r in got.collect()) == sorted(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = verdicts(Policy(schema, {"item": EntityPolicy(create=anyone, update=anyone, delete=anyone)}))
+        assert plan_of(plain).count("SortMergeJoin") == 7 and {r.verb for r in plain.where("ok").collect()} == {"create", "update", "delete"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
