@@ -4,9 +4,11 @@ Documents become pieces of at most CAPACITY tokens. Full pieces are sequences by
 others are dealt by hash into blocks of about BLOCK pieces; each block is evolved on ISLANDS
 islands. A solution is a list of bins. Crossover injects whole well-filled bins of one parent into
 the other, removes bins that now hold duplicates, and puts the displaced pieces where they fit
-best. Between epochs each island receives the elite of the next one on the ring, by a join. An
-island whose bins reach the lower bound stops early. Seeds come from block, island and epoch, so
-a lost task makes the same solution again.
+best, or makes new bins of those that fill one best. Between epochs each island receives the elite
+of the next one on the ring, by a join. There is no set number of generations: an island goes on
+until its bins are as few as a lower bound allows, so the fewest, or until ``patience`` generations
+have saved no bin. Seeds come from block, island and epoch, so a lost task makes the same solution
+again.
 
 Cases: null or empty texts are a piece of the end id alone. Equal or repeated rows are packed each
 by itself. A null doc_id passes through. An empty table gives an empty result. Other columns are
@@ -29,8 +31,7 @@ from .tokens import encoded_rows
 CAPACITY = 2048
 END = b"\0\0\0\0"
 BLOCK = 8192
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 4, 3
-
+ISLANDS, EPOCHS, POPULATION = 3, 2, 8
 
 
 class Bins(list):
@@ -88,6 +89,59 @@ def best_fit(bins: Bins, items: list[int], size: list[int]) -> None:
         mask |= 1 << r
 
 
+def fill(bins: Bins, items: list[int], size: list[int], rng: random.Random | None = None) -> None:
+    """Makes bins of ``items`` alone: the largest, then the one or two that leave least room, until none fits.
+
+    One bit for each size says whether it is left, in ``mask`` upwards and in ``back`` downwards, so that
+    all pairs of one sum are found at once. With ``rng`` the pair is any of those, else that of the largest."""
+    filed: list[list[int]] = [[] for _ in range(CAPACITY + 1)]
+    for x in items:
+        filed[size[x]].append(x)
+    mask = sum(1 << n for n in range(CAPACITY + 1) if filed[n])
+    back = sum(1 << CAPACITY - n for n in range(CAPACITY + 1) if filed[n])
+    while mask:
+        made, room, todo = [], CAPACITY, [mask.bit_length() - 1]
+        while todo:
+            for n in todo:
+                made.append(filed[n].pop())
+                room -= n
+                if not filed[n]:
+                    mask ^= 1 << n
+                    back ^= 1 << CAPACITY - n
+            one = (mask & ((1 << room + 1) - 1)).bit_length() - 1
+            todo = [one] if one >= 0 else []
+            least = (mask & -mask).bit_length() - 1
+            for total in range(min(room, 2 * one), max(one, 2 * least - 1), -1):
+                pairs = mask & (back >> CAPACITY - total)
+                if not total % 2 and len(filed[total // 2]) < 2:
+                    pairs &= ~(1 << total // 2)
+                if pairs:
+                    # any of them at or below a random place, else the one of the largest
+                    some = pairs & ((1 << rng.randrange(1, total + 1)) - 1) if rng else pairs
+                    n = (some or pairs).bit_length() - 1
+                    todo = [n, total - n]
+                    break
+        bins.append(made)
+        bins.room.append(room)
+
+
+def lower_bound(size: list[int]) -> int:
+    """No solution has fewer bins (Martello and Toth): for each k, pieces over half a bin need one each,
+    and those of k to half a bin only find room in bins of pieces of at most CAPACITY - k."""
+    count = [0] * (CAPACITY + 1)
+    for n in size:
+        count[n] += 1
+    half, best = CAPACITY // 2, -(-sum(size) // CAPACITY)
+    large = sum(count[half + 1 :])
+    small, room = 0, 0
+    # k goes down: smaller pieces come in, and so do bins that have room for them
+    for k in range(half, 0, -1):
+        small += k * count[k]
+        room += k * count[CAPACITY - k] if k < half else 0
+        best = max(best, large + max(0, -(-(small - room) // CAPACITY)))
+    return best
+
+
 def rooms(bins: Bins, size: list[int]) -> list[int]:
     """The room of each bin, counted anew."""
     return [CAPACITY - sum(size[x] for x in b) for b in bins]
@@ -100,6 +154,21 @@ def fitness(bins: Bins) -> tuple[int, float]:
     return bins.marks
 
 
+def put_back(bins: Bins, items: list[int], size: list[int], rng: random.Random) -> None:
+    """Puts displaced pieces where they fit best, or makes new bins of them and puts the pieces of the emptier of those so."""
+    if rng.random() < 0.5:
+        made = Bins()
+        fill(made, items, size, rng)
+        items = []
+        for b, r in zip(made, made.room, strict=True):
+            if r <= CAPACITY // 64:
+                bins.append(b)
+                bins.room.append(r)
+            else:
+                items += b
+    best_fit(bins, items, size)
+
+
 def crossover(one: Bins, two: Bins, size: list[int], rng: random.Random) -> Bins:
     """Injects well-filled bins of ``one`` into ``two``."""
     ranked = sorted(range(len(one)), key=one.room.__getitem__)
@@ -112,36 +181,47 @@ def crossover(one: Bins, two: Bins, size: list[int], rng: random.Random) -> Bins
             made.room.append(r)
         else:
             lost += [x for x in b if x not in given]
-    best_fit(made, lost, size)
+    put_back(made, lost, size, rng)
     return made
 
 
 def mutate(bins: Bins, size: list[int], rng: random.Random) -> Bins:
-    """Empties the emptiest bins and a few others, then puts their pieces back best-fit."""
+    """Empties the emptiest bins and others, a few or up to half of them, then puts their pieces back."""
     ranked = sorted(range(len(bins)), key=bins.room.__getitem__, reverse=True)
-    out = {*ranked[: max(1, len(bins) // 50)], *rng.sample(range(len(bins)), min(len(bins), 3))}
+    out = {*ranked[: max(1, len(bins) // 50)], *rng.sample(range(len(bins)), min(len(bins), rng.choice((3, 8, max(3, len(bins) // 2)))))}
     left = [i for i in range(len(bins)) if i not in out]
     made = Bins([bins[i][:] for i in left], [bins.room[i] for i in left])
-    best_fit(made, [x for i in out for x in bins[i]], size)
+    put_back(made, [x for i in sorted(out) for x in bins[i]], size, rng)
     return made
 
 
-def evolve(size: list[int], seed: int, elites: list[Bins], generations: int = GENERATIONS) -> Bins:
+def patience(n: int) -> int:
+    """Generations without a bin saved after which an island of ``n`` pieces gives up: more where they are cheap."""
+    return min(1000, max(40, 200_000 // max(1, n)))
+
+
+def evolve(size: list[int], seed: int, elites: list[Bins]) -> Bins:
     """The best solution that an island finds; ``elites`` join the population."""
-    rng, bound = random.Random(seed), -(-sum(size) // CAPACITY)
-    people, first = list(elites), Bins()
-    best_fit(first, list(range(len(size))), size)
-    people.append(first)
+    rng, bound = random.Random(seed), lower_bound(size)
+    people, every = list(elites), list(range(len(size)))
+    for make in (best_fit, fill):
+        if not people or min(map(len, people)) > bound:
+            people.append(Bins())
+            make(people[-1], every, size)
     if min(map(len, people)) > bound:
         while len(people) < POPULATION:
-            people.append(mutate(first, size, rng))
-        for _ in range(generations):
-            people.sort(key=fitness, reverse=True)
-            if len(people[0]) <= bound:
-                break
-            one, two = people[0], people[1 + rng.randrange(len(people) - 1)]
-            people[-1] = mutate(crossover(two, one, size, rng), size, rng)
-            people[-1 - (len(people) > 2)] = crossover(one, two, size, rng)
+            people.append(mutate(rng.choice(people), size, rng))
+        fewest, stale = min(map(len, people)), 0
+        while fewest > bound and stale < patience(len(size)):
+            one, two = (max(rng.sample(people, 2), key=fitness) for _ in range(2))
+            for child in (crossover(one, two, size, rng), mutate(max(one, two, key=fitness), size, rng)):
+                # the weakest goes, and of equals only one stays
+                weakest = min(range(len(people)), key=lambda i: fitness(people[i]))
+                if fitness(child) > fitness(people[weakest]) and all(fitness(child) != fitness(p) for p in people):
+                    people[weakest] = child
+            stale += 1
+            if (now := min(map(len, people))) < fewest:
+                fewest, stale = now, 0
     return max(people, key=fitness)
 
 

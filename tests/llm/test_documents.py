@@ -384,6 +384,32 @@ def test_packing_finds_the_optimum():
     assert packing.evolve([], 1, []) == [] and packing.evolve([2048, 2048], 1, []) == [[0], [1]]
 
 
+def test_packing_evolves_beyond_best_fit():
+    """Best-fit alone is some 15 % over the optimum of these, where three pieces just fill each sequence."""
+    import random
+
+    rng = random.Random(9)
+    for bins in (15, 60, 400):
+        size = []
+        for _ in range(bins):
+            one, two = rng.randrange(778, 1000), rng.randrange(512, 536)
+            size += [one, two, 2048 - one - two]
+        rng.shuffle(size)
+        first = packing.Bins()
+        packing.best_fit(first, list(range(len(size))), size)
+        made = packing.evolve(size, 3, [])
+        assert sorted(x for b in made for x in b) == list(range(len(size))) and packing.rooms(made, size) == made.room and min(made.room) >= 0
+        assert packing.lower_bound(size) == bins and len(first) > 1.1 * bins and len(made) <= 1.03 * bins + 1
+    for _ in range(300):
+        size = [rng.randrange(1, 2048) for _ in range(rng.randrange(1, 8))]
+        assert packing.lower_bound(size) <= fewest_bins(size)
+    # where each piece needs a sequence, the bound says so, and the search ends at once
+    assert packing.lower_bound([1025] * 50) == 50 and packing.lower_bound([1024] * 50) == 25 and packing.lower_bound([]) == 0
+    one, two = packing.Bins(), [1000, 1048, 700, 700, 648, 2048, 5]
+    packing.fill(one, list(range(7)), two)
+    assert [sum(two[x] for x in b) for b in one] == [2048, 2048, 2048, 5] and one.room == [0, 0, 0, 2043]
+
+
 def test_quality_held_out(spark):
     """Trained at sf0.01; held-out documents are ranked and cut well."""
     sf = "/root/testdata/sf0.01"
